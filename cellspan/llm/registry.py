@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellspan.llm import url_rules
+from cellspan.llm import language_id, quality_rules, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op8_language_id": language_id.op8_language_id,
     "op9_url_rules": url_rules.op9_url_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
 }
