@@ -2,8 +2,9 @@
 
 For each language, a raw-content zstandard dictionary is made from a bounded, seeded sample of labelled rows
 (`sample_docs` documents at most, `sample_chars` characters of each, from a seeded place, and `dictionary_bytes` in
-all). A text is cut into blocks of `block_bytes`, each block is compressed with each language's dictionary, and the
-sums over the whole text are compared: the smallest wins. If the runner-up needs less than `least_margin` more bytes
+all). Texts are compared by their letters: ASCII is lower-cased, and what else is in ASCII becomes single spaces. A text
+is cut into blocks of `block_bytes`, each block is compressed with each language's dictionary, and the sums over the
+whole text are compared: the smallest wins. If the runner-up needs less than `least_margin` more bytes
 (as a share of what the dictionaries save at best), the result is `rejected`.
 
 The dictionaries are a few hundred KB whatever the corpus size; texts are compressed where they are read, so nothing
@@ -29,6 +30,9 @@ from pyspark.sql import types as T
 from cellspan.llm.common import documents, text_bytes
 
 _LETTER = regex.compile(r"\p{L}")
+_PLAIN = np.full(256, 32, np.uint8)
+_PLAIN[97:123] = _PLAIN[65:91] = np.arange(97, 123)
+_PLAIN[128:] = np.arange(128, 256)
 ADDED = ["lang_pred", "score", "rejected"]
 
 
@@ -59,25 +63,36 @@ def learn(
     return {l: "\n".join(s for _, s in sorted(v)[:sample_docs]).encode()[-dictionary_bytes:] for l, v in sorted(by.items())}
 
 
+def letters(buf: np.ndarray) -> bytes:
+    """The bytes that are compared."""
+    plain = _PLAIN[buf]
+    keep = np.ones(len(plain), bool)
+    keep[1:] = (plain[1:] != 32) | (plain[:-1] != 32)
+    return plain[keep].tobytes()
+
+
 class Sizes:
-    """Compressed sizes of a text under each dictionary, and under none."""
+    """Compressed sizes of a text under each dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes], block_bytes: int):
         self.block = block_bytes
         self.langs = list(dictionaries)
         self.with_dict = []
+        how = zstandard.ZstdCompressionParameters.from_level(
+            5, min_match=3, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
         for raw in dictionaries.values():
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=1)
-            self.with_dict.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            d = zstandard.ZstdCompressionDict(letters(np.frombuffer(raw, np.uint8)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            self.with_dict.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
 
-    def of(self, raw: memoryview) -> list[int]:
+    def of(self, raw: bytes) -> list[int]:
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.with_dict]
 
 
 def identify(
-    docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least_margin: float = 0.01, block_bytes: int = 16384,
+    docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least_margin: float = 0.01, block_bytes: int = 4096,
 ) -> DataFrame:
     """docs with lang_pred, score (the winner's margin over the runner-up, 0 to 1) and rejected."""
     keep = [c for c in docs.columns if c.lower() not in ADDED]
@@ -89,14 +104,13 @@ def identify(
         sizes = Sizes(dictionaries, block_bytes)
         for batch in batches:
             buf, off = text_bytes(batch.column(at))
-            raw = memoryview(np.ascontiguousarray(buf))
             pred, score, rejected = [], [], []
             for i in range(batch.num_rows):
-                part = raw[off[i] : off[i + 1]]
-                if not langs or not _LETTER.search(bytes(part).decode("utf-8", "replace")):
+                part = buf[off[i] : off[i + 1]]
+                if not langs or not _LETTER.search(part.tobytes().decode("utf-8", "replace")):
                     pred.append("und"), score.append(0.0), rejected.append(True)
                     continue
-                s = sizes.of(part)
+                s = sizes.of(letters(part))
                 order = sorted(range(len(s)), key=lambda k: (s[k], langs[k]))
                 margin = (s[order[1]] - s[order[0]]) / max(1, s[order[1]]) if len(s) > 1 else 1.0
                 pred.append(langs[order[0]]), score.append(margin), rejected.append(margin < least_margin)
