@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cellspan.llm.common import WORD_SPLIT, cut, documents
 
 #: measure -> (has a lower fence, slack)
-MEASURES = {"symbol_pm": (False, 100), "dup_line_pm": (False, 300), "repeat_pm": (False, 300), "mean_len_pc": (True, 150)}
+MEASURES = {"symbol_pm": (False, 100), "dup_line_pm": (False, 500), "repeat_pm": (False, 300), "mean_len_pc": (True, 150)}
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -187,7 +187,7 @@ WITH d AS (
   SELECT a.lk, a.sk, a.measure,
          CASE WHEN a.total >= 200 THEN a.q1 WHEN l.total >= 200 THEN l.q1 ELSE w.q1 END AS q1,
          CASE WHEN a.total >= 200 THEN a.q3 WHEN l.total >= 200 THEN l.q3 ELSE w.q3 END AS q3,
-         CASE a.measure WHEN 'symbol_pm' THEN 100 WHEN 'mean_len_pc' THEN 150 ELSE 300 END AS slack
+         CASE a.measure WHEN 'symbol_pm' THEN 100 WHEN 'mean_len_pc' THEN 150 WHEN 'dup_line_pm' THEN 500 ELSE 300 END AS slack
   FROM q a JOIN q l ON l.lvl = 1 AND l.lk = a.lk AND l.measure = a.measure JOIN q w ON w.lvl = 2 AND w.measure = a.measure
   WHERE a.lvl = 0
 ), g AS (
