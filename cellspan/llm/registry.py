@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellspan.llm import language_id, quality_rules, url_rules
+from cellspan.llm import decontaminate, language_id, quality_rules, token_mix, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_token_mix": token_mix.op4_token_mix,
     "op8_language_id": language_id.op8_language_id,
     "op9_url_rules": url_rules.op9_url_rules,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
