@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellspan.llm import decontaminate, language_id, quality_rules, token_mix, url_rules
+from cellspan.llm import decontaminate, language_id, line_dedup, quality_rules, token_mix, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_mix": token_mix.op4_token_mix,
     "op8_language_id": language_id.op8_language_id,
