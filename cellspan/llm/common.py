@@ -178,10 +178,10 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int, shor
         if len(short):
             extra = np.empty(len(short), np.uint64)
             for x, r in enumerate(short):
-                v = np.uint64(counts[r])
-                for w in words[first[r] : first[r + 1]]:
-                    v = mix(np.array([v * np.uint64(0xA0761D6478BD642F) + w], np.uint64))[0]
-                extra[x] = v
+                v = np.array([counts[r]], np.uint64)
+                for at in range(first[r], first[r + 1]):
+                    v = mix(v * np.uint64(0xA0761D6478BD642F) + words[at : at + 1])
+                extra[x] = v[0]
             out, rows = np.concatenate([out, extra]), np.concatenate([rows, short])
             order = np.argsort(rows, kind="stable")
             out, rows = out[order], rows[order]

@@ -103,8 +103,8 @@ def shingles(points: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
         extra = np.zeros(len(short), np.uint64)
         lo, hi = np.searchsorted(of, short), np.searchsorted(of, short, "right")
         for k in range(len(short)):
-            for x in points[lo[k] : hi[k]]:
-                extra[k] = mix(np.array([extra[k] + np.uint64(x) + np.uint64(1)], np.uint64))[0]
+            for at in range(lo[k], hi[k]):
+                extra[k : k + 1] = mix(extra[k : k + 1] + points[at : at + 1] + np.uint64(1))
         h, line = np.concatenate([h, extra]), np.concatenate([line, short])
     return h, line
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellspan.llm import decontaminate, language_id, line_dedup, quality_rules, token_mix, url_rules
+from cellspan.llm import decontaminate, jaccard_join, language_id, line_dedup, quality_rules, token_mix, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_mix": token_mix.op4_token_mix,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_language_id": language_id.op8_language_id,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
 }
