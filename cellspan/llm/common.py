@@ -127,7 +127,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]] if len(off) else buf[:0], (off - off[0]) if len(off) else np.zeros(1, np.int64)
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about most bytes each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

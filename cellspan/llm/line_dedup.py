@@ -1,11 +1,14 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines count as equal by their words, ASCII lower-cased. Distinct lines get a one-permutation MinHash signature of their
-character 5-shingles (bands x rows bins, empty bins filled from the next full one), cut into bands. Lines that share a
-band are candidates; exact Jaccard similarity of the shingle sets decides (0.8 or more links); connected components of
-equal or linked lines keep their first line (smallest id, then place) and lose the others.
+Lines count as equal by their words, ASCII lower-cased. Distinct lines get a MinHash signature of their character
+5-shingles, cut into bands. Lines that share a band are candidates; exact Jaccard similarity of the shingle sets
+decides (0.8 or more links); connected components of equal or linked lines keep their first line (smallest id, then
+place) and lose the others.
 
-With 18 bands of 8 rows, a pair at similarity 0.8 meets in a band with probability 0.96, at 0.9 with 0.9999.
+With 16 bands of 8 rows, a pair at similarity 0.8 meets in a band with probability 0.95, at 0.9 with 0.9999. Lines of
+SHORT shingles or more get one-permutation signatures (bins that stay empty take the next full one's value, and a band
+takes bins far apart). Lines of fewer than SHORT / 0.8 get one hash function for each place, as few shingles would
+leave most bins empty. Those between get both, so similar lines always have signatures of one kind in common.
 
 Lines are named by 64-bit hashes. Band keys travel packed and are dropped by map tasks that have sent the same line
 before; texts of lines travel only for lines that share a band. Documents are joined twice, to fetch those lines and
@@ -30,8 +33,9 @@ from cellspan.llm.common import _LOWER, cut, documents, mix, pieces, powers, tex
 from cellspan.llm.linking import PACKED, Packer, buckets_of, n_parts, resolve
 
 SHINGLE = 5
-_MULT = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+SHORT = 64
+_MULT = (mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -44,98 +48,119 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__cs_rid", F.monotonically_increasing_id())
 
 
-def line_table(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    r"""row and hash of each \n-split line of non-empty rows, whether it has a word, and its words (start, end, line)."""
-    brk = np.flatnonzero(buf == 10)
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    begin = np.sort(np.concatenate([offsets[full], brk + 1]))
-    row = np.repeat(full, np.searchsorted(brk, offsets[full + 1]) - np.searchsorted(brk, offsets[full]) + 1)
-    start, end, _, h = words_of(buf, offsets, lower=True)
-    # of lines that begin at one place (a row ending in \n, then the next row), a word is in the last
-    line = np.searchsorted(begin, start, "right") - 1
-    first = np.searchsorted(line, np.arange(len(begin) + 1))
-    p, q = powers(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * p[: len(h)], out=sums[1:])
-    has = first[1:] > first[:-1]
-    return row, mix((sums[first[1:]] - sums[first[:-1]]) * q[first[:-1]]), has, (start, end, line)
-
-
-def normal_text(buf: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the wanted lines, words parted by one space and lines by a line feed, and the line of each."""
-    start, end, line = words
-    use = wanted[line]
-    start, end, line = start[use], end[use], line[use]
-    size = end - start + 1
-    at = np.cumsum(size) - size
-    src = np.repeat(start - at, size) + np.arange(int(size.sum()))
-    gap = at + size - 1
-    low = np.append(_LOWER[buf], np.uint8(32))[src]
-    last = np.ones(len(line), bool)
-    last[:-1] = line[1:] != line[:-1]
-    low[gap] = np.where(last, 10, 32)
-    points = np.frombuffer(low.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    ids = line[last]
-    brk = points == 10
-    of = np.zeros(len(points), np.int64)
-    np.cumsum(brk[:-1], out=of[1:])
-    return points, ids[of] if len(ids) else of
-
-
-def shingles(points: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles and their lines; a shorter line is one shingle."""
-    m = len(points) - SHINGLE + 1
-    if m <= 0:
-        h, line, inside = np.zeros(0, np.uint64), of[:0], np.zeros(0, bool)
-    else:
-        h = np.zeros(m, np.uint64)
-        wide = points.astype(np.uint64)
-        for d in range(SHINGLE):
-            h += wide[d : d + m] * _MULT[d]
-        brk = points == 10
-        inside = of[:m] == of[SHINGLE - 1 :]
-        inside &= ~brk[SHINGLE - 1 :]
-        line = of[:m]
-    h, line = mix(h[inside]), line[inside]
-    ids, counts = np.unique(of, return_counts=True)
-    short = ids[counts - 1 < SHINGLE]
-    if len(short):
-        extra = np.zeros(len(short), np.uint64)
-        lo, hi = np.searchsorted(of, short), np.searchsorted(of, short, "right")
-        for k in range(len(short)):
-            for at in range(lo[k], hi[k]):
-                extra[k : k + 1] = mix(extra[k : k + 1] + points[at : at + 1] + np.uint64(1))
-        h, line = np.concatenate([h, extra]), np.concatenate([line, short])
-    return h, line
-
-
-def band_keys(h: np.ndarray, line: np.ndarray, n_lines: int, bands: int, rows: int) -> np.ndarray:
-    """n_lines x bands keys of one-permutation MinHash signatures; every line has a shingle."""
-    bins = bands * rows
-    sig = np.full((n_lines, bins), _EMPTY)
-    step = 1 << 18
-    for base in range(0, n_lines, step):
-        use = slice(None) if n_lines <= step else (line >= base) & (line < base + step)
-        hh, ll = h[use], (line[use] - base).astype(np.uint64)
-        key = ll << np.uint64(46) | ((hh >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)) << np.uint64(37) | (hh & np.uint64((1 << 32) - 1))
-        key.sort()
-        cell = key >> np.uint64(37)
-        first = np.ones(len(key), bool)
-        first[1:] = cell[1:] != cell[:-1]
-        cell = cell[first]
-        sig[base + (cell >> np.uint64(9)).astype(np.int64), (cell & np.uint64(511)).astype(np.int64)] = key[first] & np.uint64((1 << 37) - 1)
-    at = np.where(np.concatenate([sig, sig], axis=1) != _EMPTY, np.arange(2 * bins), 4 * bins)
+def parted(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows' bytes, lower-cased, each row ended by a line feed."""
+    out = np.full(len(buf) + len(offsets) - 1, 10, np.uint8)
+    for r, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        out[a + r : b + r] = buf[a:b]
+    return _LOWER[out]
+
+
+class Lines:
+    r"""The \n-split lines of some rows: row, hash (by its words, lower-cased) and whether it has a word."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        self.buf = parted(buf, offsets)
+        self.brk = np.flatnonzero(self.buf == 10)
+        self.row = np.searchsorted(offsets[1:] + np.arange(1, len(offsets)), self.brk + 1, "left")
+        start, self.end, _, h = words_of(self.buf, np.array([0, len(self.buf)]))
+        self.line = np.searchsorted(self.brk, start)
+        self.first = np.searchsorted(self.line, np.arange(len(self.brk) + 1))
+        p, q = powers(len(h) + 1)
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * p[: len(h)], out=sums[1:])
+        self.has = self.first[1:] > self.first[:-1]
+        self.hash = mix((sums[self.first[1:]] - sums[self.first[:-1]]) * q[self.first[:-1]])
+        self.start = start
+
+    def text(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the wanted lines (all with a word), words parted by one space and lines ended by a line feed; their ends."""
+        keep = np.zeros(len(self.buf) + 1, np.int8)
+        use = wanted[self.line]
+        keep[self.start[use]] = 1
+        keep[self.end[use] + 1] -= 1  # a word and the byte behind it
+        out = self.buf[np.cumsum(keep[:-1], dtype=np.int8) > 0]
+        size = self.end[use] - self.start[use] + 1
+        gap = np.cumsum(size) - 1
+        last = np.ones(len(gap), bool)
+        line = self.line[use]
+        last[:-1] = line[1:] != line[:-1]
+        out[gap] = np.where(last, 10, 32).astype(np.uint8)
+        return out, gap[last] + 1
+
+
+def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the character shingles of lines that end in line feeds, and the number of each line's shingles.
+
+    A line of fewer characters is one shingle.
+    """
+    points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    brk = np.flatnonzero(points == 10)
+    size = np.diff(brk, prepend=-1) - 1
+    if size.min(initial=SHINGLE) < SHINGLE:  # pad short lines in front with their own length
+        short = size < SHINGLE
+        begin = brk - size
+        points = np.insert(points, np.repeat(begin[short], SHINGLE - size[short]), np.repeat(size[short], SHINGLE - size[short]).astype(np.uint32) + np.uint32(0x110000))
+        brk = np.flatnonzero(points == 10)
+        size = np.diff(brk, prepend=-1) - 1
+    m = max(0, len(points) - SHINGLE + 1)
+    h = np.zeros(m, np.uint32)
+    whole = np.ones(m, bool)
+    no_brk = points != 10
+    for d in range(SHINGLE):
+        h += points[d : d + m] * _MULT[d]
+        whole &= no_brk[d : d + m]
+    h = h[whole]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    h ^= h >> np.uint32(16)
+    return h, size - SHINGLE + 1
+
+
+def one_permutation(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """Lines x bins (a power of two) one-permutation signatures, empty bins filled from the next full one."""
+    n, shift = len(counts), np.uint32(32 - bins.bit_length() + 1)
+    sig = np.full(n * bins, _EMPTY)
+    np.minimum.at(sig, np.repeat(np.arange(0, n * bins, bins), counts) + (h >> shift), h)
+    sig = sig.reshape(n, bins)
+    at = np.where(np.concatenate([sig, sig], axis=1) != _EMPTY, np.arange(2 * bins, dtype=np.int16), np.int16(4 * bins))
     nxt = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    sig = np.take_along_axis(sig, nxt % bins, axis=1) + ((nxt - np.arange(bins)).astype(np.uint64) << np.uint64(40))
-    out = np.empty((n_lines, bands), np.uint64)
-    for b in range(bands):
-        v = np.full(n_lines, b + 1, np.uint64)
-        for r in range(rows):
-            v = mix(v * np.uint64(0xD6E8FEB86659FD93) + sig[:, b * rows + r])
-        out[:, b] = v
+    return np.take_along_axis(sig, nxt.astype(np.int64) % bins, axis=1) + (nxt - np.arange(bins)).astype(np.uint32) * np.uint32(0x9E3779B1)
+
+
+def many_permutations(h: np.ndarray, counts: np.ndarray, places: int) -> np.ndarray:
+    """Lines x places signatures with a hash function for each place."""
+    first = np.cumsum(counts) - counts
+    mult = (mix(np.arange(1, places + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    out = np.empty((len(counts), places), np.uint32)
+    for k in range(places):
+        v = h * mult[k]
+        v ^= v >> np.uint32(15)
+        out[:, k] = np.minimum.reduceat(v * mult[-1 - k], first)
     return out
 
 
+def keys_of(sig: np.ndarray, bands: int, kind: int) -> np.ndarray:
+    """Lines x bands keys; a band takes every bands-th place."""
+    v = np.tile(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(1000 * kind), (len(sig), 1))
+    for r in range(sig.shape[1] // bands):
+        v = mix(v * np.uint64(0xD6E8FEB86659FD93) + sig[:, r * bands : (r + 1) * bands])
+    return v
+
+
+def band_keys(text: np.ndarray, names: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of lines, and the names of their lines."""
+    h, counts = shingles(text)
+    keys, owners = [], []
+    for kind, use, sign in ((0, counts >= SHORT, one_permutation), (1, counts * 0.8 < SHORT, many_permutations)):
+        if use.any():
+            k = keys_of(sign(h[np.repeat(use, counts)], counts[use], bands * rows), bands, kind)
+            keys.append(k.ravel()), owners.append(np.repeat(names[use], bands))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
 def line_hashes(docs: DataFrame) -> DataFrame:
     """(__cs_rid, id, lines): per document the hashes of its lines, null for lines without a word."""
 
@@ -143,9 +168,9 @@ def line_hashes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             buf, off = text_bytes(batch.column(2))
             for i, j in pieces(off):
-                row, h, has, _ = line_table(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                lines = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64), mask=~has))
+                own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                ends = np.searchsorted(own.row, np.arange(j - i + 1)).astype(np.int32)
+                lines = pa.ListArray.from_arrays(pa.array(ends), pa.array(own.hash.view(np.int64), mask=~own.has))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], lines], names=["__cs_rid", "id", "lines"])
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -160,48 +185,45 @@ def packed_bands(texts: DataFrame, bands: int, rows: int, parts: int) -> DataFra
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
             for i, j in pieces(off):
-                part = buf[off[i] : off[j]]
-                _, h, has, words = line_table(part, off[i : j + 1] - off[i])
-                ids, first = np.unique(h[has], return_index=True)
+                own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                ids, first = np.unique(own.hash[own.has], return_index=True)
                 new = ~np.isin(ids, seen, assume_unique=True)
                 if not new.any():
                     continue
                 seen = np.concatenate([seen, ids[new]])
-                wanted = np.zeros(len(h), bool)
-                wanted[np.flatnonzero(has)[first[new]]] = True
-                points, of = normal_text(part, words, wanted)
-                sh, line = shingles(points, of)
-                lines = np.flatnonzero(wanted)
-                keys = band_keys(sh, np.searchsorted(lines, line), len(lines), bands, rows)
-                yield from packer.add(keys.ravel(), np.repeat(h[lines].view(np.int64), bands))
+                wanted = np.zeros(len(own.has), bool)
+                wanted[np.flatnonzero(own.has)[first[new]]] = True
+                yield from packer.add(*band_keys(own.text(wanted)[0], own.hash[wanted].view(np.int64), bands, rows))
         yield from packer.drain()
 
     return texts.mapInArrow(run, PACKED)
 
 
 def line_texts(wanted: DataFrame) -> DataFrame:
-    """(node, points) of the lines named by (text, places, nodes): their normal text."""
+    """(node, line) of the lines named by (text, places, nodes): their normal text, with a line feed at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
-            nodes, texts = [], []
-            for r in range(batch.num_rows):
-                part = buf[off[r] : off[r + 1]]
-                _, _, _, words = line_table(part, np.array([0, len(part)]))
-                start, end, line = words
-                first = np.searchsorted(line, np.arange(line[-1] + 2)) if len(line) else np.zeros(1, np.int64)
-                low = _LOWER[part].tobytes()
-                for place, node in zip(batch.column(1)[r].as_py(), batch.column(2)[r].as_py(), strict=True):
-                    a, b = first[place], first[place + 1]
-                    texts.append(b" ".join(low[start[k] : end[k]] for k in range(a, b)).decode("utf-8", "replace"))
-                    nodes.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "line"])
+            place, node = batch.column(1), batch.column(2)
+            at = place.offsets.to_numpy()
+            for i, j in pieces(off):
+                own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                first = np.searchsorted(own.row, np.arange(j - i))
+                line = np.repeat(first, np.diff(at[i : j + 1])) + place.values.to_numpy()[at[i] : at[j]]
+                order = np.argsort(line)
+                wanted = np.zeros(len(own.has), bool)
+                wanted[line] = True
+                text, ends = own.text(wanted)
+                ends = np.append(0, ends).astype(np.int32)
+                lines = pa.StringArray.from_buffers(len(line), pa.py_buffer(ends), pa.py_buffer(text))
+                yield pa.RecordBatch.from_arrays([pa.array(node.values.to_numpy()[at[i] : at[j]][order]), lines], names=["node", "line"])
 
     return wanted.mapInArrow(run, "node long, line string")
 
 
 def shingle_set(line: str) -> frozenset[str]:
+    line = line.removesuffix("\n")
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
@@ -210,9 +232,11 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, last, p = [], None, frozenset()
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = shingle_set(x), shingle_set(y)
+                if x != last:
+                    last, p = x, shingle_set(x)
+                q = shingle_set(y)
                 both = len(p & q)
                 keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -220,7 +244,7 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 18, rows: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 16, rows: int = 8) -> DataFrame:
     """docs with the repeated lines taken out of their texts, n_lines (with words, before) and n_removed."""
     spark = docs.sparkSession
     base = numbered(docs)
