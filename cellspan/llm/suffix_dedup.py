@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import documents, pieces, prefix_sums, span_hashes, text_bytes
+from cellspan.llm.common import documents, mix, pieces, powers, prefix_sums, span_hashes, text_bytes
 from cellspan.llm.line_dedup import numbered
 from cellspan.llm.linking import PACKED, n_parts
 
@@ -45,31 +45,33 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, least: int, k: int = KMER) ->
     none = tuple(np.zeros(0, d) for d in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     if len(buf) < least:
         return none
-    sums = prefix_sums(buf)
-    at = np.arange(len(buf) - k + 1)
-    h = span_hashes(sums, at, at + k)
+    sums, m = prefix_sums(buf), len(buf) - k + 1
+    _, q = powers(len(sums))
+    h = mix((sums[k:] - sums[:m]) * q[:m])
+    del sums
     low = np.uint64((1 << max(20, len(buf).bit_length())) - 1)
-    v = (h & ~low) | at.astype(np.uint64)
+    v = (h & ~low) | np.arange(m, dtype=np.uint64)
     width, w = 1, least - k + 1
     while 2 * width <= w:
         v = np.minimum(v[:-width], v[width:])
         width *= 2
     if w > width:
         v = np.minimum(v[: len(v) - (w - width)], v[w - width :])
-    size = np.diff(offsets)
-    rows = np.flatnonzero(size >= least)
-    if not len(rows):
+    valid, new = np.ones(len(v), bool), np.ones(len(v), bool)
+    place = v & low
+    new[1:] = place[1:] != place[:-1]
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        valid[max(a, b - least + 1) : b] = False
+        if a < len(new):
+            new[a] = True
+    first = np.flatnonzero(new & valid)
+    if not len(first):
         return none
-    n = size[rows] - least + 1
-    row = np.repeat(rows, n)
-    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + offsets[row]
-    place = (v[start] & low).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    base = offsets[row[first]]
-    return h[place[first]], row[first], place[first] - base, start[first] - base, start[last] - base
+    stop = np.append(np.flatnonzero(new | ~valid), len(v))
+    last = stop[np.searchsorted(stop, first, "right")] - 1
+    row = np.searchsorted(offsets, first, "right") - 1
+    at, base = place[first].astype(np.int64), offsets[row]
+    return h[at], row, at - base, first - base, last - base
 
 
 def sent(columns: list[np.ndarray], part: np.ndarray, data: np.ndarray | None = None, size: np.ndarray | None = None) -> pa.RecordBatch:
@@ -226,8 +228,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             blobs = [b"".join(x) for x in lists.to_pylist()]
             n = np.array([len(b) // 16 for b in blobs])
             a = 0
-            while a < len(n):  # some 100,000 anchors at a time
-                b = max(a + 1, int(np.searchsorted(np.cumsum(n[a:]), 100_000)) + a)
+            while a < len(n):  # some 20,000 anchors at a time
+                b = max(a + 1, int(np.searchsorted(np.cumsum(n[a:]), 20_000)) + a)
                 key, where = np.frombuffer(b"".join(blobs[a:b]), np.int64).reshape(-1, 2).T
                 row = np.repeat(np.arange(a, b), n[a:b])
                 place, far, near = where >> 16, where >> 8 & 255, where & 255
