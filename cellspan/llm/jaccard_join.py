@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
 A document's set holds its distinct k-word shingles, named by 64-bit hashes. Documents with the same set are one node.
-If two sets reach similarity t, their n - ceil(t n) + 1 first tokens under any global order share one. Each order puts
-shingles that are frequent in the corpus last (by the power of two of their count), and the others by a hash of the
-order's own. Pairs must share a prefix token under the first order to become candidates, and under every other order
+If two sets reach similarity t, their n - ceil(t n) + m first tokens under any global order share m, for any m. Here m
+is n / 20 (at least 1), and of two sets the smaller m holds; so sets that only share a passage don't meet. Each order puts
+last the shingles that are frequent in the corpus (by the power of two of their count), before them the others by the
+product of their words' frequencies, and breaks ties by a hash of the order's own. Pairs must share m prefix tokens under the first order to become candidates, and under every other order
 to be verified; then the sets' exact intersection decides.
 
-Frequent shingles are found by merging what each map task sees in at least `frequent` of its shingles; only those of
-at least half that share overall are kept, so the table has at most 2 / frequent entries. The order need not be exact
-to lose nothing: any order is a valid one.
+Frequent shingles and words are found by merging what each map task sees in at least a share `frequent` of its shingles
+or `common` of its words; only those of at least half that share overall are kept, so the tables have at most
+2 / frequent and 2 / common entries. The order need not be exact to lose nothing: any order is a valid one.
 
 Prefix tokens travel packed; sets travel only for nodes that share a prefix token, and once for each pair tried (see
 linking.resolve).
@@ -30,19 +31,20 @@ from pyspark.sql import functions as F
 
 from cellspan.llm.common import cut, documents, mix, pieces, shingle_hashes, text_bytes, words_of
 from cellspan.llm.line_dedup import numbered
-from cellspan.llm.linking import PACKED, Packer, buckets_of, n_parts, resolve
+from cellspan.llm.linking import PACKED, Packer, bitmap, buckets_of, n_parts, pruned, resolve
 
 _BITS = np.uint64((1 << 20) - 1)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    _, _, row, words = words_of(buf, offsets, lower=True)
-    n = len(offsets) - 1
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int, order: Orders | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct shingle hashes of each row, and their levels in the orders."""
+    words, row, n = _rows(buf, offsets)
     h, r = shingle_hashes(words, row, n, k)
     first = np.searchsorted(r, np.arange(n + 1))
+    level = order.shingle_levels(h, r, words, row, k) if order else np.zeros(len(h), np.uint8)
     for i in range(n):
-        yield np.unique(h[first[i] : first[i + 1]])
+        s, at = np.unique(h[first[i] : first[i + 1]], return_index=True)
+        yield s, level[first[i] : first[i + 1]][at]
 
 
 def set_name(tokens: np.ndarray) -> int:
@@ -54,66 +56,95 @@ def set_name(tokens: np.ndarray) -> int:
     return int(mix(a + mix(b + np.uint64(len(tokens)))).view(np.int64)[0])
 
 
+def shared_tokens(n: int) -> int:
+    """Prefix tokens that a set of n has in common with similar sets of its size or above."""
+    return max(1, n // 20)
+
+
+class Table:
+    """Sorted 64-bit keys with a level each; look-ups of other keys give 0."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.levels = keys[by], levels[by].astype(np.uint8)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys & _BITS).astype(np.int64)] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), np.uint8)
+        at = np.flatnonzero(self.maybe[(keys & _BITS).astype(np.int64)])
+        if len(at) and len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+            hit = self.keys[spot] == keys[at]
+            out[at[hit]] = self.levels[spot[hit]]
+        return out
+
+
 class Orders:
     """Global token orders that put frequent tokens last."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, orders: int, similarity: Fraction):
-        by = np.argsort(tokens)
-        self.tokens = tokens[by]
-        self.level = (np.log2(np.maximum(counts[by], 1)) + 1).astype(np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.tokens & _BITS).astype(np.int64)] = True
+    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray, int]], orders: int, similarity: Fraction, k: int):
+        keys, counts, _ = counted["shingle"]
+        self.frequent = Table(keys, np.minimum(255, 128 + np.log2(np.maximum(counts, 1))))
+        keys, counts, total = counted["word"]
+        least = counts.min(initial=1)
+        self.common = Table(keys, np.minimum(127 // k, 1 + (2 if k <= 3 else 1) * np.log2(np.maximum(counts, 1) / max(1, least))))
         self.seeds = mix(np.arange(1, orders + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.similarity = similarity
 
     def size(self, n: int) -> int:
-        return n - -(-self.similarity.numerator * n // self.similarity.denominator) + 1
-
-    def levels(self, tokens: np.ndarray) -> np.ndarray:
-        level = np.zeros(len(tokens), np.uint64)
-        at = np.flatnonzero(self.maybe[(tokens & _BITS).astype(np.int64)])
-        if len(at) and len(self.tokens):
-            spot = np.minimum(np.searchsorted(self.tokens, tokens[at]), len(self.tokens) - 1)
-            hit = self.tokens[spot] == tokens[at]
-            level[at[hit]] = self.level[spot[hit]]
-        return level
-
-    def prefix(self, tokens: np.ndarray, order: int, level: np.ndarray | None = None) -> np.ndarray:
+        return n - -(-self.similarity.numerator * n // self.similarity.denominator) + shared_tokens(n)
+
+    def shingle_levels(self, h: np.ndarray, r: np.ndarray, words: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+        """Levels of shingles: of words as their sum, of frequent shingles by count."""
+        own = self.common(words).astype(np.int64)
+        sums = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(own, out=sums[1:])
+        n_words, n_shingles = (np.bincount(x, minlength=int(row.max(initial=-1)) + 1) for x in (row, r))
+        first = np.repeat(np.cumsum(n_words) - n_words, n_shingles)
+        at = first + np.arange(len(h)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
+        end = np.minimum(at + k, first + np.repeat(n_words, n_shingles))
+        return np.maximum(self.frequent(h), (sums[end] - sums[at]).astype(np.uint8))
+
+    def prefix(self, tokens: np.ndarray, order: int, level: np.ndarray) -> np.ndarray:
         p = self.size(len(tokens))
-        level = self.levels(tokens) if level is None else level
-        key = level << np.uint64(57) | mix(tokens ^ self.seeds[order]) >> np.uint64(7)
+        key = level.astype(np.uint64) << np.uint64(56) | mix(tokens ^ self.seeds[order]) >> np.uint64(8)
         return tokens if p >= len(tokens) else tokens[np.argpartition(key, p - 1)[:p]]
 
 
-def frequent_shingles(texts: DataFrame, k: int, frequent: float, flush: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that make up at least half of `frequent` of all shingles, and their counts (from below)."""
+def frequent_tokens(texts: DataFrame, k: int, frequent: float, common: float, flush: int = 1 << 21) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
+    """Shingles (words) that make up at least half of `frequent` (`common`) of all, their counts (from below), and the total."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[str, list[np.ndarray]] = {"shingle": [], "word": []}
         n = 0
 
-        def emit() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            big = counts >= max(3, frequent * counts.sum())
-            values, counts = np.append(values[big], np.uint64(0)), np.append(counts[big], n)
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["token", "n"])
+        def emit() -> Iterator[pa.RecordBatch]:
+            for kind, share in (("shingle", frequent), ("word", common)):
+                values, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
+                big = counts >= max(3, share * counts.sum())
+                values, counts = np.append(values[big], np.uint64(0)), np.append(counts[big], counts.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(values)), pa.array(values.view(np.int64)), pa.array(counts)], names=["kind", "token", "n"])
 
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
             for i, j in pieces(off):
-                held.append(shingle_hashes(*_rows(buf[off[i] : off[j]], off[i : j + 1] - off[i]), k)[0])
-                n += len(held[-1])
+                words, row, m = _rows(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                held["word"].append(words), held["shingle"].append(shingle_hashes(words, row, m, k)[0])
+                n += len(words)
                 if n >= flush:
-                    yield emit()
-                    held, n = [], 0
+                    yield from emit()
+                    held, n = {"shingle": [], "word": []}, 0
         if n:
-            yield emit()
+            yield from emit()
 
-    sums = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    sums = cut(sums)
-    total = sums.where("token = 0").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where((F.col("token") != 0) & (F.col("n") >= max(3, frequent * total / 2))).toArrow()
-    return rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    sums = cut(texts.mapInArrow(run, "kind string, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
+    totals = dict(sums.where("token = 0").select("kind", "n").collect())
+    out = {}
+    for kind, share in (("shingle", frequent), ("word", common)):
+        rows = sums.where((F.col("kind") == kind) & (F.col("token") != 0) & (F.col("n") >= max(3, share * totals.get(kind, 0) / 2))).toArrow()
+        out[kind] = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy(), totals.get(kind, 0)
+    return out
 
 
 def _rows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -122,12 +153,12 @@ def _rows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def similar_groups(
-    docs: DataFrame, k: int, similarity: Fraction, id_col: str = "doc_id", text_col: str = "text", orders: int = 3, frequent: float = 4e-6,
+    docs: DataFrame, k: int, similarity: Fraction, id_col: str = "doc_id", text_col: str = "text", orders: int = 3, frequent: float = 4e-6, common: float = 1e-5,
 ) -> DataFrame:
     """__cs_rid, id, n_shingles and component_id of each row of docs (see line_dedup.numbered for __cs_rid)."""
     spark = docs.sparkSession
     base = numbered(docs).select("__cs_rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = Orders(*frequent_shingles(docs.select(text_col), k, frequent), orders, similarity)
+    order = Orders(frequent_tokens(docs.select(text_col), k, frequent, common), orders, similarity, k)
     shared = spark.sparkContext.broadcast(order)
     parts = n_parts(spark)
 
@@ -136,7 +167,7 @@ def similar_groups(
             buf, off = text_bytes(batch.column(2))
             n, name = [], []
             for i, j in pieces(off):
-                for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k):
+                for s, _ in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k):
                     n.append(len(s)), name.append(set_name(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(name, pa.int64())], names=["__cs_rid", "id", "n_shingles", "node"]
@@ -147,10 +178,10 @@ def similar_groups(
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
             for i, j in pieces(off):
-                for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k):
+                for s, level in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, shared.value):
                     if len(s) and (name := set_name(s)) not in seen:
                         seen.add(name)
-                        first = shared.value.prefix(s, 0)
+                        first = shared.value.prefix(s, 0, level)
                         yield from packer.add(first, np.full(len(first), name, np.int64))
         yield from packer.drain()
 
@@ -158,41 +189,51 @@ def similar_groups(
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
             for i, j in pieces(off, 1 << 18):
-                blobs = [s.tobytes() for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(blobs, pa.binary())], names=["node", "tokens"])
+                own = list(shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, shared.value))
+                blobs, sketch = [s.tobytes() + v.tobytes() for s, v in own], [bitmap(s) for s, _ in own]
+                columns = [batch.column(0)[i:j], pa.array(blobs, pa.binary()), pa.array([len(s) for s, _ in own], pa.int64()), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens", "size", "sketch"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                keep.append(links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), shared.value, orders))
+                keep.append(links(stored(x.as_buffer()), stored(y.as_buffer()), shared.value, orders))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = base.schema["id"].dataType.simpleString()
     named = cut(base.mapInArrow(names, f"__cs_rid long, id {kind}, n_shingles long, node long"))
+    need = named.where("node IS NOT NULL").groupBy("node").agg(F.max(F.greatest(F.lit(1).cast("long"), F.expr("n_shingles div 20"))).alias("need"))
     buckets = cut(buckets_of(docs.select(text_col).mapInArrow(prefixes, PACKED)))
+    need = cut(need.join(buckets.select("node").distinct(), "node", "left_semi"))
+    buckets = pruned(buckets, need)
     owner = named.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("__cs_rid").alias("__cs_rid"))
-    tokens = cut(base.join(owner.hint("shuffle_hash"), "__cs_rid").select("node", "text").mapInArrow(sets, "node long, tokens binary"))
+    tokens = cut(base.join(owner.hint("shuffle_hash"), "__cs_rid").select("node", "text").mapInArrow(sets, "node long, tokens binary, size long, sketch binary"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda c: tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "tokens_a", "tokens_b")
         return both.mapInArrow(linked, "a long, b long")
 
-    found = resolve(buckets, verify)
+    found = resolve(buckets, verify, tokens.select("node", "size", "sketch"), similarity)
     rooted = named.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(least, "root", "left").select("__cs_rid", "id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def links(x: np.ndarray, y: np.ndarray, order: Orders, orders: int) -> bool:
+def stored(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and levels of a set, 9 bytes each."""
+    n = blob.size // 9
+    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint8, n, 8 * n)
+
+
+def links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], order: Orders, orders: int) -> bool:
     """Whether two sets pass the length filter, the prefix filter of each order, and the exact test."""
-    t = order.similarity
+    t, (x, lx), (y, ly) = order.similarity, a, b
     if t.numerator * max(len(x), len(y)) > t.denominator * min(len(x), len(y)):
         return False
-    lx, ly = order.levels(x), order.levels(y)
     for o in range(1, orders):
-        if not len(np.intersect1d(order.prefix(x, o, lx), order.prefix(y, o, ly), assume_unique=True)):
+        if len(np.intersect1d(order.prefix(x, o, lx), order.prefix(y, o, ly), assume_unique=True)) < shared_tokens(min(len(x), len(y))):
             return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return t.denominator * both >= t.numerator * (len(x) + len(y) - both)

@@ -7,14 +7,17 @@ Components: rounds of min-label hooking, pointer jumping and contraction on tabl
 (min), never gathered. Edges shrink each round until none is left.
 
 resolve() finds the components of the links among bucket mates without trying all pairs of a bucket: first each node
-is tried with one centre, then with the centres of those of its buckets that still hold several components, and then
-what pairs across components are left in such buckets. Mates already in one component need no trial, so no link that
-would change a component is missed.
+is tried with the centre of the most of its buckets, then with other centres of those that still hold several
+components, and at last what pairs across components are left in such buckets. Mates already in one component need no
+trial, so no link that would change a component is missed. With sketches, the last step doesn't try or emit pairs whose
+bitmaps differ in more places than linked sets can: a set's bitmap has a bit for each token's hash, so two sets differ
+in at least as many tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -97,11 +100,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not e.isEmpty():
         up = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-        up = cut(up.select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
-        for _ in range(2):
-            over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
-            up = up.join(over, "up").select("node", F.col("over").alias("up"))
-        up = cut(up)
+        up = up.select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        up = cut(up.join(over, "up").select("node", F.col("over").alias("up")))
         if labels is None:
             labels = up.select("node", F.col("up").alias("root"))
         else:
@@ -112,27 +113,100 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([], "node long, root long") if labels is None else labels
 
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, root) after more links (a, b)."""
+    if found is None:
+        return components(links)
+    side = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    own = cut(links.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")))
+    top = components(own.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = found.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = top.join(found.select("node"), "node", "left_anti")
+    return cut(moved.unionAll(new))
+
+
+def pruned(buckets: DataFrame, need: DataFrame, rounds: int = 1) -> DataFrame:
+    """buckets without nodes that share fewer keys than they need (node, need), and keys of one node."""
+    for _ in range(rounds):
+        able = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(need, "node").where("n >= need").select("node")
+        buckets = cut(buckets.join(able, "node", "left_semi"))
+        several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        buckets = cut(buckets.join(several, "key", "left_semi"))
+    return buckets
+
+
+SKETCH_WORDS = 16
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A set's bitmap of 64 * SKETCH_WORDS bits."""
+    bits = np.zeros(64 * SKETCH_WORDS, np.uint8)
+    bits[(tokens >> np.uint64(20)) % np.uint64(64 * SKETCH_WORDS)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def near_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b) of rows (key, node, root, size, sketch) with one key and two roots whose bitmaps allow the similarity."""
+    less, more = similarity.denominator - similarity.numerator, similarity.denominator + similarity.numerator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key, node, root, size = (t.column(c).to_numpy() for c in range(4))
+        sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        order = np.lexsort((size, key))
+        key, node, root, size, sketch = key[order], node[order], root[order], size[order], sketch[order]
+        end = np.searchsorted(key, key, "right")
+        at, d = np.arange(len(key)), 0
+        while len(at):  # each row with the d-th after it, while that has its key and isn't too long
+            d += 1
+            at = at[at + d < end[at]]
+            at = at[similarity.numerator * size[at + d] <= similarity.denominator * size[at]]
+            for i in range(0, len(at), 1 << 16):
+                x = at[i : i + (1 << 16)]
+                x = x[root[x] != root[x + d]]
+                differ = np.bitwise_count(sketch[x] ^ sketch[x + d]).sum(axis=1, dtype=np.int64)
+                x = x[more * differ <= less * (size[x] + size[x + d])]
+                if len(x):
+                    p, q = node[x], node[x + d]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("key", "node", "root", "size", "sketch").repartition(n, "key").mapInArrow(run, "a long, b long")
+
+
+def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, similarity: Fraction | None = None, turns: int = 1) -> DataFrame:
     """(node, root) of the components of verified links among bucket mates; verify maps (a, b) to the pairs that link."""
-    if buckets.isEmpty():
-        return buckets.sparkSession.createDataFrame([], "node long, root long")
-    stars = buckets.join(buckets.groupBy("key").agg(F.min("node").alias("a")), "key").where("node <> a")
-    tried = cut(stars.groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b")))
-    links = cut(verify(tried))
-    found = components(links)
-    for last in (False, True):
-        at = buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node", "root")).alias("first")).where("lo <> hi")
-        if last:
-            open_ = cut(at.join(mixed.select("key"), "key"))
-            pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    tried = found = None
+    for turn in range(turns + 2):
+        at = buckets.withColumn("root", F.col("node"))
+        if found is not None:
+            at = buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        centre = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "node"))
+        mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), centre.alias("c")).where("lo <> hi")
+        ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        if turn <= turns:
+            stars = at.join(mixed.select("key", "c"), "key").where("c.root <> root").groupBy("node", F.col("c.node").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+            if tried is not None:
+                other = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("c"))
+                stars = stars.join(other, ["node", "c"], "left_anti")
+            pairs = stars.groupBy("node").agg(F.max(F.struct("n", "c")).alias("s")).select(*ends(F.col("node"), F.col("s.c"))).distinct()
         else:
-            pairs = at.join(mixed.select("key", "first"), "key").where("first.root <> root").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+            open_ = at.join(mixed.select("key"), "key")
+            if sketches is None:
+                open_ = cut(open_)
+                pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
+                pairs = pairs.select(*ends(F.col("x.node"), F.col("y.node"))).distinct()
+            else:
+                pairs = near_pairs(open_.join(sketches, "node"), similarity).distinct()
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
         if pairs.isEmpty():
-            break
-        tried = tried.unionAll(pairs)
-        links = links.unionAll(cut(verify(pairs)))
-        found = components(links)
-    return found
+            if turn == 0:
+                break
+            continue
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        found = joined(found, verify(pairs))
+    return buckets.sparkSession.createDataFrame([], "node long, root long") if found is None else found
