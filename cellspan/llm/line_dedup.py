@@ -23,6 +23,7 @@ columns of those names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.llm.common import _LOWER, cut, documents, mix, pieces, powers, text_bytes, words_of
-from cellspan.llm.linking import PACKED, Packer, buckets_of, n_parts, resolve
+from cellspan.llm.linking import PACKED, SKETCH_WORDS, Packer, buckets_of, n_parts, resolve
 
 SHINGLE = 5
 SHORT = 64
@@ -200,7 +201,7 @@ def packed_bands(texts: DataFrame, bands: int, rows: int, parts: int) -> DataFra
 
 
 def line_texts(wanted: DataFrame) -> DataFrame:
-    """(node, line) of the lines named by (text, places, nodes): their normal text, with a line feed at the end."""
+    """(node, line, size, sketch) of the lines named by (text, places, nodes): their normal text, ended by a line feed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +218,22 @@ def line_texts(wanted: DataFrame) -> DataFrame:
                 text, ends = own.text(wanted)
                 ends = np.append(0, ends).astype(np.int32)
                 lines = pa.StringArray.from_buffers(len(line), pa.py_buffer(ends), pa.py_buffer(text))
-                yield pa.RecordBatch.from_arrays([pa.array(node.values.to_numpy()[at[i] : at[j]][order]), lines], names=["node", "line"])
+                size, sketch = sketches(text)
+                columns = [pa.array(node.values.to_numpy()[at[i] : at[j]][order]), lines, pa.array(size), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "line", "size", "sketch"])
 
-    return wanted.mapInArrow(run, "node long, line string")
+    return wanted.mapInArrow(run, "node long, line string, size long, sketch binary")
+
+
+def sketches(text: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of distinct shingles and the bitmap of each line."""
+    h, counts = shingles(text)
+    n, width = len(counts), 64 * SKETCH_WORDS
+    line = np.repeat(np.arange(n), counts)
+    size = np.bincount((np.unique(line.astype(np.uint64) << np.uint64(32) | h) >> np.uint64(32)).astype(np.int64), minlength=n) if n else counts
+    bits = np.zeros((n, width), np.uint8)
+    bits[line, h % np.uint32(width)] = 1
+    return size.astype(np.int64), [b.tobytes() for b in np.packbits(bits, axis=1)]
 
 
 def shingle_set(line: str) -> frozenset[str]:
@@ -262,7 +276,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         side = lambda n: texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"))
         return similar(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "line_a", "line_b"), similarity)
 
-    linked = resolve(buckets, verify)
+    linked = resolve(buckets, verify, texts.select("node", "size", "sketch"), Fraction(similarity).limit_denominator(1000))
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("__cs_rid"), F.col("place"))
     each = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).join(linked, "node", "left")
     many = each.where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))

@@ -146,7 +146,10 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 
 def near_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b) of rows (key, node, root, size, sketch) with one key and two roots whose bitmaps allow the similarity."""
+    """(a, b) of rows (key, node, root, size, sketch) with one key and two roots whose bitmaps allow the similarity.
+
+    Sizes may be off by two, as those of sets of short hashes may be.
+    """
     less, more = similarity.denominator - similarity.numerator, similarity.denominator + similarity.numerator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +166,12 @@ def near_pairs(rows: DataFrame, similarity: Fraction) -> DataFrame:
         while len(at):  # each row with the d-th after it, while that has its key and isn't too long
             d += 1
             at = at[at + d < end[at]]
-            at = at[similarity.numerator * size[at + d] <= similarity.denominator * size[at]]
+            at = at[similarity.numerator * (size[at + d] - 2) <= similarity.denominator * (size[at] + 2)]
             for i in range(0, len(at), 1 << 16):
                 x = at[i : i + (1 << 16)]
                 x = x[root[x] != root[x + d]]
                 differ = np.bitwise_count(sketch[x] ^ sketch[x + d]).sum(axis=1, dtype=np.int64)
-                x = x[more * differ <= less * (size[x] + size[x + d])]
+                x = x[more * differ <= less * (size[x] + size[x + d] + 4)]
                 if len(x):
                     p, q = node[x], node[x + d]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
