@@ -163,10 +163,11 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int, shor
     h = words.copy()
     valid = np.ones(m, bool)
     for d in range(1, k):
+        left = max(0, m - d)
         nxt = np.zeros(m, np.uint64)
-        nxt[: m - d] = words[d:] if d < m else words[:0]
+        nxt[:left] = words[d:]
         same = np.zeros(m, bool)
-        same[: m - d] = row[d:] == row[: m - d] if d < m else False
+        same[:left] = row[d:] == row[:left]
         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + nxt)
         valid &= same
     out, rows = h[valid], row[valid]

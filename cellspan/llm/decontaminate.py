@@ -125,7 +125,8 @@ def hits_in(items: Items, words: np.ndarray, row: np.ndarray, n_rows: int, shift
     for k, (key, item, place, bitmap) in items.runs.items():
         h, r = shingle_hashes(words, row, n_rows, k, short_whole=False)
         valid = np.zeros(len(words), bool)
-        valid[: len(words) - k + 1] = row[k - 1 :] == row[: len(words) - k + 1]
+        left = max(0, len(words) - k + 1)
+        valid[:left] = row[k - 1 :] == row[:left]
         pos = np.flatnonzero(valid)
         maybe = np.flatnonzero(bitmap[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(key, h[maybe], "left"), np.searchsorted(key, h[maybe], "right")

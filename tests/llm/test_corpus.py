@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellspan.llm import decontaminate, jaccard_join, language_id, licence_scan, line_dedup, linking, quality_rules, site_quality, suffix_dedup, token_mix, url_rules
-from cellspan.llm.common import cut
+from cellspan.llm.common import cut, shingle_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -216,6 +216,19 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_pieces_of_few_words(spark):
+    for m in range(5):
+        words, row = np.arange(1, m + 1, dtype=np.uint64), np.zeros(m, np.int64)
+        for k in range(1, 8):
+            assert len(shingle_hashes(words, row, 1, k)[0]) == max(m - k + 1, min(m, 1))
+            assert len(shingle_hashes(words, row, 1, k, short_whole=False)[0]) == max(m - k + 1, 0)
+    leak = " ".join(f"w{i}" for i in range(20))
+    table = spark.createDataFrame([(1, "two words"), (2, "just three words"), (3, leak)], "doc_id long, text string").repartitionByRange(3, "doc_id")
+    bench = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    assert [tuple(r)[:3] for r in decontaminate.find_leaks(table, bench).collect()] == [(3, 7, 0)]
+    assert sorted(r.doc_id for r in jaccard_join.drop_similar(table, 5, Fraction(4, 5)).collect()) == [1, 2, 3]
+
+
 def test_stretch_distance():
     rng = random.Random(2)
     for _ in range(200):
