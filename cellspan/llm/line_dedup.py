@@ -6,7 +6,7 @@ decides (0.8 or more links); connected components of equal or linked lines keep
 place) and lose the others.
 
 With 16 bands of 8 rows, a pair at similarity 0.8 meets in a band with probability 0.95, at 0.9 with 0.9999. Lines of
-SHORT shingles or more get one-permutation signatures (bins that stay empty take the next full one's value, and a band
+SHORT distinct shingles or more get one-permutation signatures (bins that stay empty take the next full one's value, and a band
 takes bins far apart). Lines of fewer than SHORT / 0.8 get one hash function for each place, as few shingles would
 leave most bins empty. Those between get both, so similar lines always have signatures of one kind in common.
 
@@ -120,6 +120,12 @@ def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, size - SHINGLE + 1
 
 
+def distinct(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles of each line."""
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    return np.bincount((np.unique(line << np.uint64(32) | h) >> np.uint64(32)).astype(np.int64), minlength=len(counts))
+
+
 def one_permutation(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
     """Lines x bins (a power of two) one-permutation signatures, empty bins filled from the next full one."""
     n, shift = len(counts), np.uint32(32 - bins.bit_length() + 1)
@@ -154,8 +160,11 @@ def keys_of(sig: np.ndarray, bands: int, kind: int) -> np.ndarray:
 def band_keys(text: np.ndarray, names: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of lines, and the names of their lines."""
     h, counts = shingles(text)
+    size = counts.copy()
+    long = np.flatnonzero(counts >= SHORT)  # only here can repeated shingles change the kind
+    size[long] = distinct(h[np.repeat(counts >= SHORT, counts)], counts[long])
     keys, owners = [], []
-    for kind, use, sign in ((0, counts >= SHORT, one_permutation), (1, counts * 0.8 < SHORT, many_permutations)):
+    for kind, use, sign in ((0, size >= SHORT, one_permutation), (1, size * 0.8 < SHORT, many_permutations)):
         if use.any():
             k = keys_of(sign(h[np.repeat(use, counts)], counts[use], bands * rows), bands, kind)
             keys.append(k.ravel()), owners.append(np.repeat(names[use], bands))
@@ -230,7 +239,7 @@ def sketches(text: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     h, counts = shingles(text)
     n, width = len(counts), 64 * SKETCH_WORDS
     line = np.repeat(np.arange(n), counts)
-    size = np.bincount((np.unique(line.astype(np.uint64) << np.uint64(32) | h) >> np.uint64(32)).astype(np.int64), minlength=n) if n else counts
+    size = distinct(h, counts)
     bits = np.zeros((n, width), np.uint8)
     bits[line, h % np.uint32(width)] = 1
     return size.astype(np.int64), [b.tobytes() for b in np.packbits(bits, axis=1)]

@@ -139,6 +139,17 @@ def test_line_signatures_find_most_similar_lines():
     assert tried > 150 and met >= 0.95 * tried
 
 
+def test_repetitive_lines_of_any_length_meet(spark):
+    pairs = [("=" * 50, "=" * 90), ("-" * 40, "-" * 100), ("ha " * 20, "ha " * 40), ("=" * 8, "=" * 3000), ("| --- " * 9, "| --- " * 200)]
+    for a, b in pairs:
+        a, b = a.strip(), b.strip()
+        assert line_dedup.shingle_set(a) == line_dedup.shingle_set(b)
+        keys, owner = line_dedup.band_keys(np.frombuffer(f"{a}\n{b}\n".encode(), np.uint8), np.array([0, 1]), 16, 8)
+        assert set(keys[owner == 0]) == set(keys[owner == 1])
+    table = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs[1:3]) for k in (0, 1)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.dedup_lines(table).collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
 def groups_by_brute_force(rows, k, t):
     sets = []
     for r in rows:
