@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import random
 import re
 from collections import defaultdict
@@ -139,6 +140,22 @@ def test_line_signatures_find_most_similar_lines():
     assert tried > 150 and met >= 0.95 * tried
 
 
+@pytest.mark.parametrize("size", [40, 70, 80, 100, 160, 400])
+def test_line_signatures_lose_few_pairs_at_the_threshold(size):
+    options = inspect.signature(line_dedup.dedup_lines).parameters
+    rng, pairs, shared, texts = random.Random(size), 500, round(2 * size * 0.8 / 1.8 + 0.49), []
+    for _ in range(pairs):
+        a, b = ([chr(rng.randrange(0x4E00, 0x9000)) for _ in range(size + 4)] for _ in range(2))
+        texts += ["".join(a), "".join(a[: shared + 4] + b[shared + 4 :])]
+    p, q = map(line_dedup.shingle_set, texts[:2])
+    assert 0.8 <= len(p & q) / len(p | q) < 0.83
+    keys, owner = line_dedup.band_keys(np.frombuffer(("\n".join(texts) + "\n").encode(), np.uint8), np.arange(2 * pairs), options["bands"].default, options["rows"].default)
+    by = [set() for _ in texts]
+    for k, o in zip(keys.tolist(), owner.tolist(), strict=True):
+        by[o].add(k)
+    assert sum(bool(by[i] & by[i + 1]) for i in range(0, 2 * pairs, 2)) >= 0.99 * pairs
+
+
 def test_repetitive_lines_of_any_length_meet(spark):
     pairs = [("=" * 50, "=" * 90), ("-" * 40, "-" * 100), ("ha " * 20, "ha " * 40), ("=" * 8, "=" * 3000), ("| --- " * 9, "| --- " * 200)]
     for a, b in pairs:
