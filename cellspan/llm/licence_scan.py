@@ -6,8 +6,8 @@ statements below and a bounded, seeded sample of the corpus's own paragraphs (`s
 temperature is fitted by likelihood; a paragraph is reported if "none" has at most `most_none`, and a
 family's probability below `least_probability` is "unknown".
 
-Part of the model is a gate: the words of the statements that the sampled paragraphs don't have are cues, and a
-paragraph without any cue is of the class "none".
+Every paragraph is scored that may have an n-gram with a non-zero weight: cues are the first words of those n-grams.
+Without any, the biases alone decide, for the class "none".
 
 Scanning is DataFrame code in one pass without a shuffle. Paragraphs are the lines of a text. What is predicted as a
 family is compared with the family's templates: the share of a template's words that the paragraph has. Below
@@ -116,8 +116,6 @@ def train(negatives: list[str], seed: int = 3, penalty: float = 2e-4, steps: int
             held_y += [c, c]
     for s in negatives:
         texts.append(tokens(s)), y.append(0)
-    plain = {w for s in negatives for w in tokens(s)}
-    cues = sorted({w for v in STATEMENTS.values() for s in v for w in tokens(s) if len(w) > 1 and w not in plain})
     x, y = rows(texts), np.array(y)
     w, b = np.zeros((len(features), len(CLASSES))), np.zeros(len(CLASSES))
     weight = 1.0 / np.bincount(y, minlength=len(CLASSES))[y].clip(1)
@@ -141,6 +139,7 @@ def train(negatives: list[str], seed: int = 3, penalty: float = 2e-4, steps: int
 
     best = min((0.25 * k for k in range(1, 13)), key=loss)
     used = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
+    cues = sorted({features[i].split(" ")[0] for i in used})
     return Model([features[i] for i in used], w[used], b, best, cues)
 
 
@@ -172,7 +171,7 @@ def scan(
     cues = F.array(*[F.lit(c) for c in model.cues])
     lines = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        .where(F.arrays_overlap(F.split(F.lower("t"), "[^a-z0-9]+"), cues))
+        .where(F.arrays_overlap(F.split(lower_ascii(F.col("t")), "[^a-z0-9]+"), cues))
         .select("id", F.expr("transform(split(t, '\\n'), (p, i) -> struct(i AS paragraph, p AS p))").alias("ps"))
     )
     gate = lambda s: F.arrays_overlap(F.split(lower_ascii(s["p"]), "[^a-z0-9]+"), cues)

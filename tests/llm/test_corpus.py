@@ -371,6 +371,14 @@ def test_licence_scan(spark, docs, empty):
     assert licence_scan.scan(empty, model).count() == 0
 
 
+def test_licence_scan_after_sampling_the_statements_words(spark):
+    plain = ["The public was let in by the east door.", "This domain of science is old.", "He has all his rights.", "Seats are reserved for guests.", "A new version was released in May."]
+    model = licence_scan.train(plain * 20 + ["ta lo mi"] * 50)
+    texts = ["This work is in the public domain.", "All rights reserved.", *plain]
+    found = licence_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id, r.family) for r in found) == [(0, "public_domain"), (1, "unknown")]
+
+
 def test_site_quality(spark, docs, empty):
     rng = random.Random(3)
     rows = [(i, prose(rng, 120) if i % 3 else "### $$$ " * 40, "en", f"s{i % 4}", 0) for i in range(240)]
