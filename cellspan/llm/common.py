@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import hashlib
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +29,83 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests).
+
+    Off a local master there is no such local folder, so there the setting is asked for.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = tempfile.mkdtemp(prefix="cellspan-")
         atexit.register(shutil.rmtree, _fallback["dir"], ignore_errors=True)
     return f"file://{_fallback['dir']}"
 
 
+def _on_disk(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
 
-    The files go when the driver's JVM ends.
+    The files go with discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cellspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    store, hadoop = _on_disk(spark, path)
+    store.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cellspan_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of cut tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_cellspan_path", None):
+            store, hadoop = _on_disk(t.sparkSession, path)
+            store.delete(hadoop, True)
+
+
+def _file_scan(docs: DataFrame) -> bool:
+    """Whether docs is a deterministic projection or selection of Parquet files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in relation.fileFormat().getClass().getSimpleName()
+
+
+def filed(docs: DataFrame) -> DataFrame:
+    """docs, cut first if they are no deterministic scan of Parquet files."""
+    return docs if _file_scan(docs) else cut(docs)
+
+
+FILE_BITS, ROW_BITS = 36, 27
+
+
+def numbered(docs: DataFrame, name: str = "__cs_rid") -> DataFrame:
+    """docs with a row number that any scan of the same files gives again, however they are split into tasks.
+
+    It is made of the file's name (36 bits of a digest, with a salt under which the input's files differ) and the row's
+    place in the file (27 bits; more rows in a file are an error). docs: as filed() returns them, or selected from that.
+    """
+    place = docs.metadataColumn("_metadata")
+    files = [unquote(re.sub("^([a-z0-9]+):/*", r"\1:", f)) for f in docs.inputFiles()]
+    salt = next(s for s in map(str, range(1000)) if len({hashlib.md5((s + f).encode()).hexdigest()[: FILE_BITS // 4] for f in files}) == len(files))
+    own = F.concat(F.lit(salt), F.regexp_replace(place["file_path"], "^([a-z0-9]+):/*", "$1:"))
+    digest = F.conv(F.substring(F.md5(own), 1, FILE_BITS // 4), 16, 10).cast("long")
+    row = F.when(place["row_index"] < 1 << ROW_BITS, place["row_index"]).otherwise(F.raise_error(F.lit("a file has too many rows to number")).cast("long"))
+    return docs.select("*", (F.shiftleft(digest, ROW_BITS) + row).alias(name))
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
@@ -69,6 +129,16 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; at their end the worker's freed memory goes back to the system, as workers are kept for later tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # --- byte kernels on Arrow string columns ---------------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

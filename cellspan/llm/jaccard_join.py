@@ -4,8 +4,10 @@ A document's set holds its distinct k-word shingles, named by 64-bit hashes. Doc
 If two sets reach similarity t, their n - ceil(t n) + m first tokens under any global order share m, for any m. Here m
 is n / 20 (at least 1), and of two sets the smaller m holds; so sets that only share a passage don't meet. Each order puts
 last the shingles that are frequent in the corpus (by the power of two of their count), before them the others by the
-product of their words' frequencies, and breaks ties by a hash of the order's own. Pairs must share m prefix tokens under the first order to become candidates, and under every other order
-to be verified; then the sets' exact intersection decides.
+product of their words' frequencies, and breaks ties by a hash of the order's own. Pairs must share a prefix token under
+the first order to meet. Before any set is fetched, each other order filters them: bitmaps of the prefixes under it must
+not differ in more places than prefixes that share m tokens do. Pairs that pass every order are verified: m shared prefix
+tokens under each, then the sets' exact intersection decides.
 
 Frequent shingles and words are found by merging what each map task sees in at least a share `frequent` of its shingles
 or `common` of its words; only those of at least half that share overall are kept, so the tables have at most
@@ -29,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import cut, documents, mix, pieces, shingle_hashes, text_bytes, words_of
-from cellspan.llm.line_dedup import numbered
-from cellspan.llm.linking import PACKED, Packer, bitmap, buckets_of, n_parts, pruned, resolve
+from cellspan.llm.common import cut, discard, documents, filed, free_name, mix, numbered, pieces, released, shingle_hashes, text_bytes, words_of
+from cellspan.llm.linking import LOW, PACKED, SKETCH_WORDS, Packer, Whole, bitmap, buckets_of, differing, n_parts, pruned, resolve
 
 _BITS = np.uint64((1 << 20) - 1)
 
@@ -61,6 +62,27 @@ def shared_tokens(n: int) -> int:
     return max(1, n // 20)
 
 
+PREFIX_WORDS = 4
+
+
+class Filters(Whole):
+    """Whole, and for each order but the first whether the prefixes' bitmaps allow that they share enough tokens."""
+
+    def __init__(self, similarity: Fraction, orders: int):
+        super().__init__(similarity)
+        self.orders = orders
+
+    def __call__(self, size_x: np.ndarray, size_y: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        t = self.similarity
+        prefix = lambda n: n - -(-t.numerator * n // t.denominator) + np.maximum(1, n // 20)
+        most = prefix(size_x) + prefix(size_y) - 2 * np.maximum(1, np.minimum(size_x, size_y) // 20)
+        ok = super().__call__(size_x, size_y, x, y)
+        for o in range(self.orders - 1):
+            own = slice(SKETCH_WORDS + o * PREFIX_WORDS, SKETCH_WORDS + (o + 1) * PREFIX_WORDS)
+            ok &= differing(x[:, own], y[:, own]) <= most
+        return ok
+
+
 class Table:
     """Sorted 64-bit keys with a level each; look-ups of other keys give 0."""
 
@@ -155,15 +177,16 @@ def _rows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def similar_groups(
     docs: DataFrame, k: int, similarity: Fraction, id_col: str = "doc_id", text_col: str = "text", orders: int = 3, frequent: float = 4e-6, common: float = 1e-5,
 ) -> DataFrame:
-    """__cs_rid, id, n_shingles and component_id of each row of docs (see line_dedup.numbered for __cs_rid)."""
-    spark = docs.sparkSession
-    base = numbered(docs).select("__cs_rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = Orders(frequent_tokens(docs.select(text_col), k, frequent, common), orders, similarity, k)
+    """__cs_rid (see common.numbered), id, n_shingles, root (names the component; null for empty sets) and component_id of each row of docs."""
+    spark, docs = docs.sparkSession, filed(docs)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = numbered(slim).select("__cs_rid", "id", "text")
+    order = Orders(frequent_tokens(slim.select("text"), k, frequent, common), orders, similarity, k)
     shared = spark.sparkContext.broadcast(order)
     parts = n_parts(spark)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             buf, off = text_bytes(batch.column(2))
             n, name = [], []
             for i, j in pieces(off):
@@ -175,27 +198,31 @@ def similar_groups(
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(parts), set()
-        for batch in batches:
+        for batch in released(batches):
             buf, off = text_bytes(batch.column(0))
             for i, j in pieces(off):
                 for s, level in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, shared.value):
                     if len(s) and (name := set_name(s)) not in seen:
-                        seen.add(name)
+                        if len(seen) < 1 << 20:
+                            seen.add(name)
                         first = shared.value.prefix(s, 0, level)
                         yield from packer.add(first, np.full(len(first), name, np.int64))
         yield from packer.drain()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             buf, off = text_bytes(batch.column(1))
-            for i, j in pieces(off, 1 << 18):
-                own = list(shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, shared.value))
-                blobs, sketch = [s.tobytes() + v.tobytes() for s, v in own], [bitmap(s) for s, _ in own]
-                columns = [batch.column(0)[i:j], pa.array(blobs, pa.binary()), pa.array([len(s) for s, _ in own], pa.int64()), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens", "size", "sketch"])
+            for i, j in pieces(off):
+                blobs, size, sketch, low = [], [], [], []
+                for s, v in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k, shared.value):
+                    blobs.append(s.tobytes() + v.tobytes()), size.append(len(s))
+                    sketch.append(bitmap(s) + b"".join(bitmap(shared.value.prefix(s, o, v), PREFIX_WORDS) for o in range(1, orders)))
+                    low.append(np.sort(shared.value.prefix(s, 0, v).view(np.int64))[:LOW])
+                columns = [batch.column(0)[i:j], pa.array(blobs, pa.binary()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens", "size", "sketch", "low"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 keep.append(links(stored(x.as_buffer()), stored(y.as_buffer()), shared.value, orders))
@@ -203,22 +230,25 @@ def similar_groups(
 
     kind = base.schema["id"].dataType.simpleString()
     named = cut(base.mapInArrow(names, f"__cs_rid long, id {kind}, n_shingles long, node long"))
-    need = named.where("node IS NOT NULL").groupBy("node").agg(F.max(F.greatest(F.lit(1).cast("long"), F.expr("n_shingles div 20"))).alias("need"))
-    buckets = cut(buckets_of(docs.select(text_col).mapInArrow(prefixes, PACKED)))
-    need = cut(need.join(buckets.select("node").distinct(), "node", "left_semi"))
+    buckets = cut(buckets_of(slim.select("text").mapInArrow(prefixes, PACKED)))
+    # a similar set has t n tokens at least, and of two sets the smaller number of shared tokens holds
+    least = F.greatest(F.lit(1).cast("long"), F.expr(f"({similarity.numerator}L * n_shingles) div {similarity.denominator} div 20"))
+    need = named.where("node IS NOT NULL").groupBy("node").agg(F.max(least).alias("need"))
     buckets = pruned(buckets, need)
     owner = named.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("__cs_rid").alias("__cs_rid"))
-    tokens = cut(base.join(owner.hint("shuffle_hash"), "__cs_rid").select("node", "text").mapInArrow(sets, "node long, tokens binary, size long, sketch binary"))
+    held = base.select("__cs_rid", "text").join(owner.hint("shuffle_hash"), "__cs_rid").select("node", "text")
+    tokens = cut(held.mapInArrow(sets, "node long, tokens binary, size long, sketch binary, low array<long>"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda c: tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "tokens_a", "tokens_b")
         return both.mapInArrow(linked, "a long, b long")
 
-    found = resolve(buckets, verify, tokens.select("node", "size", "sketch"), similarity)
+    found = resolve(buckets, verify, tokens.select("node", "size", "sketch", "low"), Filters(similarity, orders))
+    discard(buckets, tokens)
     rooted = named.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root", "left").select("__cs_rid", "id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    least_id = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(least_id, "root", "left").select("__cs_rid", "id", "n_shingles", "root", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def stored(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
@@ -241,11 +271,13 @@ def links(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], or
 
 def drop_similar(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs of which one of each group of similar ones stays: the one with the smallest id (nulls last)."""
-    groups = similar_groups(docs, k, similarity, id_col, text_col)
+    docs = filed(docs)
+    groups = cut(similar_groups(docs, k, similarity, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("__cs_rid")))
-    alone = groups.where("n_shingles = 0").select("__cs_rid")
-    stay = groups.where("n_shingles > 0").groupBy("component_id").agg(first.alias("f")).select("f.__cs_rid").unionAll(alone)
-    return numbered(docs).join(stay, "__cs_rid", "left_semi").select(*docs.columns)
+    stay = groups.where("root IS NOT NULL").groupBy("root").agg(first.alias("f")).select("f.__cs_rid")
+    gone = groups.where("root IS NOT NULL").select("__cs_rid").join(stay, "__cs_rid", "left_anti")
+    name = free_name(docs, "__cs_rid")[0]
+    return numbered(docs, name).join(gone.withColumnRenamed("__cs_rid", name), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

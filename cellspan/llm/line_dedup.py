@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import _LOWER, cut, documents, mix, pieces, powers, text_bytes, words_of
-from cellspan.llm.linking import PACKED, SKETCH_WORDS, Packer, buckets_of, n_parts, resolve
+from cellspan.llm.common import _LOWER, cut, discard, documents, filed, free_name, mix, numbered, pieces, powers, released, text_bytes, words_of
+from cellspan.llm.linking import LOW, PACKED, SKETCH_WORDS, Packer, Whole, buckets_of, n_parts, resolve
 
 SHINGLE = 5
 SHORT = 64
@@ -40,16 +40,6 @@ _MULT = (mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)).astype(
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a row number __cs_rid that every scan of the same files gives again; other plans are cut first."""
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    while plan.getClass().getSimpleName() in ("Project", "Filter"):
-        plan = plan.children().apply(0)
-    if plan.getClass().getSimpleName() != "LogicalRelation":
-        docs = cut(docs)
-    return docs.withColumn("__cs_rid", F.monotonically_increasing_id())
-
-
 def parted(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The rows' bytes, lower-cased, each row ended by a line feed."""
     out = np.full(len(buf) + len(offsets) - 1, 10, np.uint8)
@@ -190,7 +180,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     """(__cs_rid, id, lines): per document the hashes of its lines, null for lines without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             buf, off = text_bytes(batch.column(2))
             for i, j in pieces(off):
                 own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -207,7 +197,7 @@ def packed_bands(texts: DataFrame, bands: int, rows: int, parts: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(parts), np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in released(batches):
             buf, off = text_bytes(batch.column(0))
             for i, j in pieces(off):
                 own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -228,7 +218,7 @@ def line_texts(wanted: DataFrame) -> DataFrame:
     """(node, line, size, sketch) of the lines named by (text, places, nodes): their normal text, ended by a line feed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             buf, off = text_bytes(batch.column(0))
             place, node = batch.column(1), batch.column(2)
             at = place.offsets.to_numpy()
@@ -265,18 +255,32 @@ def shingle_set(line: str) -> frozenset[str]:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
-def similar(pairs: DataFrame, similarity: float) -> DataFrame:
+class Same:
+    """Whether two lines' shingle sets are similar; sets of the last lines are kept."""
+
+    def __init__(self, similarity: Fraction, most: int = 1000):
+        self.similarity, self.most = similarity, most
+        self.kept: dict[str, frozenset[str]] = {}
+
+    def set_of(self, line: str) -> frozenset[str]:
+        if (s := self.kept.get(line)) is None:
+            if len(self.kept) >= self.most:
+                self.kept.clear()
+            s = self.kept[line] = shingle_set(line)
+        return s
+
+    def __call__(self, x: str, y: str) -> bool:
+        p, q = self.set_of(x), self.set_of(y)
+        both = len(p & q)
+        return self.similarity.denominator * both >= self.similarity.numerator * (len(p) + len(q) - both)
+
+
+def similar(pairs: DataFrame, same: Same) -> DataFrame:
     """The (a, b) of (a, b, line_a, line_b) whose shingle sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, p = [], None, frozenset()
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, p = x, shingle_set(x)
-                q = shingle_set(y)
-                both = len(p & q)
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+        for batch in released(batches):
+            keep = [same(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -284,43 +288,47 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 24, rows: int = 6) -> DataFrame:
     """docs with the repeated lines taken out of their texts, n_lines (with words, before) and n_removed."""
-    spark = docs.sparkSession
-    base = numbered(docs)
-    lines = cut(line_hashes(base.select("__cs_rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
-    buckets = cut(buckets_of(packed_bands(docs.select(text_col), bands, rows, n_parts(spark))))
+    spark, docs = docs.sparkSession, filed(docs)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = numbered(slim).select("__cs_rid", "id", "text")
+    lines = cut(line_hashes(base))
+    buckets = cut(buckets_of(packed_bands(slim.select("text"), bands, rows, n_parts(spark))))
     spots = lines.select("__cs_rid", "id", F.posexplode("lines").alias("place", "node")).where("node IS NOT NULL")
 
-    nodes = buckets.select("node").distinct()
-    owner = spots.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__cs_rid", "place")).alias("o"))
+    low = buckets.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LOW).alias("low"))
+    owner = spots.join(low.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("__cs_rid", "place")).alias("o"))
     asked = owner.groupBy("o.__cs_rid").agg(F.collect_list(F.struct("o.place", "node")).alias("l"))
-    wanted = base.select("__cs_rid", F.col(text_col).alias("text")).join(asked.hint("shuffle_hash"), "__cs_rid")
+    wanted = base.select("__cs_rid", "text").join(asked.hint("shuffle_hash"), "__cs_rid")
     texts = cut(line_texts(wanted.select("text", "l.place", "l.node")))
+    same = Same(Fraction(similarity).limit_denominator(1000))
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda n: texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"))
-        return similar(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "line_a", "line_b"), similarity)
+        return similar(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "line_a", "line_b"), same)
 
-    linked = resolve(buckets, verify, texts.select("node", "size", "sketch"), Fraction(similarity).limit_denominator(1000))
+    marks = texts.join(low, "node").select("node", "size", "sketch", "low", F.col("line").alias("payload"))
+    linked = resolve(buckets, verify, marks, Whole(same.similarity), same)
+    discard(buckets, texts)
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("__cs_rid"), F.col("place"))
     each = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).join(linked, "node", "left")
     many = each.where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     best = many.groupBy("root").agg(F.min("first").alias("best"))
     keeper = cut(many.join(best, "root").select("node", "best"))
     gone = spots.join(keeper, "node").where(~((F.col("best.__cs_rid") == F.col("__cs_rid")) & (F.col("best.place") == F.col("place"))))
-    by_doc = gone.groupBy("__cs_rid").agg(F.collect_list("place").alias("__cs_gone"))
-
-    split = F.split(F.col(f"`{text_col}`"), "\n")
-    kept_text = F.when(F.col("__cs_gone").isNull(), F.col(f"`{text_col}`")).otherwise(
-        F.expr(f"array_join(transform(array_except(sequence(0, size(split(`{text_col}`, '\\n')) - 1), __cs_gone), i -> get(split_, i)), '\\n')".replace("split_", "__cs_split"))
-    )
-    counts = lines.select("__cs_rid", F.size(F.array_compact("lines")).cast("long").alias("__cs_lines"))
-    per_doc = counts.join(by_doc, "__cs_rid", "left")
-    joined = base.join(per_doc.hint("shuffle_hash"), "__cs_rid").withColumn("__cs_split", F.when(F.col("__cs_gone").isNotNull(), split))
+    by_doc = gone.groupBy("__cs_rid").agg(F.collect_list("place").alias("gone"))
+    counts = lines.select("__cs_rid", F.size(F.array_compact("lines")).cast("long").alias("lines"))
+
+    rid, n_lines, away, split = free_name(docs, "__cs_rid", "__cs_lines", "__cs_gone", "__cs_split")
+    per_doc = counts.join(by_doc, "__cs_rid", "left").select(F.col("__cs_rid").alias(rid), F.col("lines").alias(n_lines), F.col("gone").alias(away))
+    text = F.col(f"`{text_col}`")
+    joined = numbered(docs, rid).join(per_doc.hint("shuffle_hash"), rid).withColumn(split, F.when(F.col(away).isNotNull(), F.split(text, "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(away)), lambda i: F.get(F.col(split), i))
+    kept_text = F.when(F.col(away).isNull(), text).otherwise(F.array_join(kept, "\n"))
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return joined.select(
         *[(kept_text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in keep],
-        F.col("__cs_lines").alias("n_lines"),
-        F.coalesce(F.size("__cs_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.col(n_lines).alias("n_lines"),
+        F.coalesce(F.size(away), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellspan.llm import decontaminate, jaccard_join, language_id, licence_scan, line_dedup, linking, quality_rules, site_quality, suffix_dedup, token_mix, url_rules
-from cellspan.llm.common import cut, shingle_hashes
+from cellspan.llm.common import cut, numbered, shingle_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -56,7 +56,7 @@ def empty(spark, tmp_path_factory):
 
 def numbered_rows(docs):
     """Rows in the order that decides: id (nulls last), then row number."""
-    rows = line_dedup.numbered(docs).collect()
+    rows = numbered(docs).collect()
     return sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r["__cs_rid"]))
 
 
