@@ -148,12 +148,15 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def pruned(buckets: DataFrame, need: DataFrame, rounds: int = 1) -> DataFrame:
-    """buckets without nodes that share fewer keys than they need (node, need), and keys of one node."""
+    """buckets without nodes that share fewer keys than they need (node, need), and keys of one node.
+
+    The centre of a bucket becomes the node that shares the most keys: of a group of edited copies, the least edited.
+    """
     for _ in range(rounds):
-        able = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(need, "node").where("n >= need").select("node")
-        rest = cut(buckets.join(able, "node", "left_semi"))
-        several = rest.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-        slim = cut(rest.join(several, "key", "left_semi"))
+        able = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(need, "node").where("n >= need").select("node", "n")
+        rest = cut(buckets.select("key", "node").join(able, "node"))
+        several = rest.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max_by("node", F.struct("n", F.xxhash64("node"))).alias("centre")).where("lo <> hi")
+        slim = cut(rest.select("key", "node").join(several.select("key", "centre"), "key"))
         discard(buckets, rest)
         buckets = slim
     return buckets
@@ -302,7 +305,7 @@ def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks:
     found = components(verify(tried))
     rest = still_open(buckets.select("key", "node"))
     if same is None:  # another centre, as each pair that the bitmaps leave is verified elsewhere
-        other = rest.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node")).alias("c"))
+        other = rest.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(1), "node")).alias("c"))
         again = rest.join(other, "key").where("c.root <> root").select("node", F.col("c.node").alias("centre"))
         again = cut(most_shared(again).join(tried, ["a", "b"], "left_anti"))
         found = joined(found, verify(again))
