@@ -3,23 +3,26 @@
 Sparse suffix arrays by content-chosen anchors. In every `least`-byte string, the k-mer with the smallest hash (the
 leftmost of equal ones) is its anchor, so equal strings have equal anchors at equal places, and anchors are some 40
 bytes apart. Anchors travel packed; those whose k-mer stands once are dropped. Around each other anchor, the bytes of
-the strings it is the anchor of go to the k-mer's part. There,
+the strings it is the anchor of go to the k-mer's part. There, intervals of anchors are expanded breadth first, one byte
+a level, and an anchor alone in its interval leaves the search:
 
-* the suffixes that start at anchors are sorted, with their longest common prefixes, and
-* intervals of suffixes are extended backward, breadth first, by the byte before them (the Burrows-Wheeler column),
-  one byte a level. At level l, suffixes whose interval is still shared and whose common prefix reaches least - l
-  bytes start equal strings l bytes before their anchors. Suffixes alone in their interval leave the search, which
-  ends at the level where the strings are all to the left of an anchor's end.
+* on the reversed text, backward extension by the next byte: level r holds the anchors that share r bytes from the
+  anchor on with others, so common prefixes come out by increasing value;
+* on the text, backward extension by the byte before (the Burrows-Wheeler column): at level l, anchors whose interval is
+  still shared and that share least - l bytes from the anchor on start equal strings l bytes before it. The search stops
+  where the strings have the minimum length.
 
 All but the first of equal strings are marked; marks go back to their documents, where their union is removed.
 
-Before bytes travel, a task marks all but the first of identical pieces by itself, and sends that one alone; texts
-that are copies of an earlier text as a whole are marked by their digest. So common passages, long runs and groups of
-copies reach a part at most once per task. Documents are joined twice by row number, hashing the small side.
+Before bytes travel, a task marks all but the first of identical pieces of a batch by itself (their bytes are compared),
+and sends that one alone; texts that are copies of an earlier text as a whole are marked by their digest. So common
+passages, long runs and groups of copies reach a part at most once per batch. A task holds one part at a time. Documents
+are joined twice by row number, with one shuffle of the texts that both joins read.
 
 Cases: null text counts as no bytes. Texts under `least` bytes keep all bytes. Ids are integers; equal ids are ordered
-by row, and null ids come last. Matches don't cross documents. An empty table gives an empty result. With
-keep_text=True the remaining bytes come as `kept` (binary).
+by row, and null ids come last. Matches don't cross documents. An empty table gives an empty result; other columns,
+whatever their names, are left out. With keep_text=True the remaining bytes come as `kept` (binary). `least` below 48 or
+above 8192 is refused.
 """
 
 from __future__ import annotations
@@ -32,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import documents, mix, pieces, powers, prefix_sums, span_hashes, text_bytes
-from cellspan.llm.line_dedup import numbered
-from cellspan.llm.linking import PACKED, n_parts
+from cellspan.llm.common import documents, filed, mix, numbered, pieces, powers, prefix_sums, released, span_hashes, text_bytes
+from cellspan.llm.linking import PACKED, by_part, dealt, n_parts
 
 KMER = 24
 _LAST = np.iinfo(np.int64).max
@@ -108,18 +110,22 @@ def ranges_by_row(rid: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["__cs_rid", "blob"])
 
 
-def _classes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of byte rows, and the common prefix of each with the one before it."""
-    wide = np.zeros((len(matrix), -(-matrix.shape[1] // 8) * 8), np.uint8)
-    wide[:, : matrix.shape[1]] = matrix
-    keys = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    m = matrix[order]
-    differ = np.ones((len(m), m.shape[1] + 1), bool)
-    differ[1:, :-1] = m[1:] != m[:-1]
-    lcp = differ.argmax(axis=1)
-    lcp[:1] = 0
-    return order, lcp
+def _windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows of bytes data[begin : begin + size], filled up with zeros."""
+    width = max(1, int(size.max(initial=0)))
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
+    rows *= np.arange(width) < size[:, None]
+    return rows
+
+
+def _expand(interval: np.ndarray, active: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The active ones that share their interval's extension by a byte with others; interval gets the new ones."""
+    _, cls, counts = np.unique(interval[active] * 256 + byte, return_inverse=True, return_counts=True)
+    shared = counts[cls] > 1
+    active = active[shared]
+    interval[active] = cls[shared]
+    return active
 
 
 def repeated_strings(ident: np.ndarray, rid: np.ndarray, place: np.ndarray, far: np.ndarray, near: np.ndarray, data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,37 +135,33 @@ def repeated_strings(ident: np.ndarray, rid: np.ndarray, place: np.ndarray, far:
     """
     by = np.lexsort((place, rid, ident))
     size = far - near + least
-    begin = (np.cumsum(size) - size)[by]
+    anchor = (np.cumsum(size) - size + far)[by]
     rid, place, far, near = rid[by], place[by], far[by], near[by]
     n, most = len(by), int(far.max())
-    padded = np.append(data, np.zeros(1, np.uint8))
-    zero = len(data)
-    col = np.arange(least)
-    right = padded[np.where(col < (least - near)[:, None], (begin + far)[:, None] + col, zero)]
-    back = np.arange(1, most + 1)
-    left = padded[np.where(back <= far[:, None], (begin + far)[:, None] - back, zero)]
-    order, lcp = _classes(right)
+    reach = least - near
+    right = _windows(data, anchor, reach)
+    left = _windows(data[::-1], len(data) - anchor, far)
+    prefix = np.full((least + 1, n), -1, np.int32)  # by level: the interval of anchors with that common prefix
     interval, active = np.zeros(n, np.int64), np.arange(n)
-    prefix = np.empty(n, np.int64)
+    for r in range(1, right.shape[1] + 1):
+        active = active[reach[active] >= r]
+        active = _expand(interval, active, right[active, r - 1])
+        if not len(active):
+            break
+        prefix[r, active] = interval[active]
+    active = np.flatnonzero(prefix[KMER] >= 0)
+    interval[active] = prefix[KMER, active]
     rids, starts = [], []
     for level in range(most + 1):
-        if level:  # extend backward by one byte
+        if level:
             active = active[far[active] >= level]
-            if not len(active):
-                break
-            key = interval[active] * 256 + left[active, level - 1]
-        else:
-            prefix[order] = np.cumsum(lcp < KMER)
-            key = prefix[active]
-        _, cls, counts = np.unique(key, return_inverse=True, return_counts=True)
-        shared = counts[cls] > 1
-        active = active[shared]
-        interval[active] = cls[shared]
-        own = active[near[active] <= level]
+            active = _expand(interval, active, left[active, level - 1])
+        if not len(active):
+            break
+        own = active[(near[active] <= level) & (prefix[least - level, active] >= 0)]
         if not len(own):
             continue
-        prefix[order] = np.cumsum(lcp < least - level)
-        key = interval[own] * (n + 1) + prefix[own]
+        key = interval[own] * (n + 1) + prefix[least - level, own]
         sort = np.argsort(key, kind="stable")
         again = np.zeros(len(own), bool)
         again[sort[1:]] = key[sort[1:]] == key[sort[:-1]]
@@ -181,20 +183,25 @@ def kept_bytes(raw: np.ndarray, blobs: list[bytes], least: int) -> tuple[np.ndar
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
+    if not 2 * KMER <= least <= 8192:
+        raise ValueError(f"least is {least}; it must be from {2 * KMER} to 8192")
     spark = docs.sparkSession
-    base = numbered(docs).select("__cs_rid", F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("ident"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = filed(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = numbered(slim).select("__cs_rid", F.coalesce(F.col("id").cast("long"), F.lit(int(_LAST))).alias("ident"), "id", "text")
     parts = n_parts(spark)
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    to_part = lambda key: ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in released(batches):
             buf, off = text_bytes(batch.column(2))
             rid, ident = (batch.column(c).to_numpy() for c in (0, 1))
             use = np.zeros(batch.num_rows, bool)
             for r in np.lexsort((rid, ident)):  # of equal texts, the first by id
+                if off[r + 1] - off[r] < least:
+                    continue
                 name = hashlib.blake2b(buf[off[r] : off[r + 1]], digest_size=16).digest()
-                if seen.get(name, _LAST) >= ident[r] and off[r + 1] - off[r] >= least:
+                if seen.get(name, _LAST) >= ident[r]:
                     use[r] = name not in seen or seen[name] > ident[r]
                     seen[name] = int(ident[r])
             for i, j in pieces(off):
@@ -203,16 +210,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keep = use[row] if len(row) else np.zeros(0, bool)
                 key, row, place, s0, s1 = (x[keep] for x in (key, row, place, s0, s1))
                 if len(key):
-                    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                    yield sent([key.view(np.int64), rid[row], place << 16 | (place - s0) << 8 | (place - s1)], part)
+                    yield sent([key.view(np.int64), rid[row], place << 32 | (place - s0) << 16 | (place - s1)], to_part(key))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for p, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by.setdefault(p, []).append(received(b.as_buffer(), 3)[0])
-        for p in list(by):
-            key, rid, where = np.concatenate(by.pop(p), axis=1)
+        for _, blobs in by_part(released(batches)):
+            key, rid, where = np.concatenate([received(b, 3)[0] for b in blobs], axis=1)
             order = np.argsort(key, kind="stable")
             key = key[order]
             again = np.zeros(len(key), bool)
@@ -222,45 +224,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield ranges_by_row(rid[order][again], key[again], where[order][again])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = text_bytes(batch.column(2))
-            rid, ident, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            blobs = [b"".join(x) for x in lists.to_pylist()]
-            n = np.array([len(b) // 16 for b in blobs])
+        for batch in released(batches):
+            buf, off = text_bytes(batch.column(3))
+            rid, ident = (batch.column(c).to_numpy() for c in (0, 1))
+            blobs = [b"".join(x) if x else b"" for x in batch.column(4).to_pylist()]
+            upto = np.cumsum([0, *(len(b) // 16 for b in blobs)])
             a = 0
-            while a < len(n):  # some 20,000 anchors at a time
-                b = max(a + 1, int(np.searchsorted(np.cumsum(n[a:]), 20_000)) + a)
-                key, where = np.frombuffer(b"".join(blobs[a:b]), np.int64).reshape(-1, 2).T
-                row = np.repeat(np.arange(a, b), n[a:b])
-                place, far, near = where >> 16, where >> 8 & 255, where & 255
-                size = far - near + least
-                begin = off[row] + place - far
-                src = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                data = buf[src]
-                ends = np.cumsum(size)
-                name = span_hashes(prefix_sums(data), ends - size, ends) ^ (far * 256 + near).astype(np.uint64)
-                order = np.lexsort((place, rid[row], ident[row], name))
-                dup = np.zeros(len(name), bool)
-                dup[order[1:]] = name[order[1:]] == name[order[:-1]]
-                if dup.any():
-                    own = ranges_by_row(rid[row[dup]], place[dup] - far[dup], place[dup] - near[dup])
-                    yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(own)) % parts, pa.int32()), _with_rid(own)], names=["part", "blob"])
-                k = ~dup
-                part = ((key[k].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                yield sent([ident[row[k]], rid[row[k]], place[k], far[k], near[k]], part, data[np.repeat(k, size)], size[k])
+            while a < len(blobs):  # some 40,000 anchors at a time
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + 40_000)))
+                if upto[b := min(b, len(blobs))] > upto[a]:
+                    key, where = np.frombuffer(b"".join(blobs[a:b]), np.int64).reshape(-1, 2).T
+                    row = np.repeat(np.arange(a, b), np.diff(upto[a : b + 1]))
+                    place, far, near = where >> 32, where >> 16 & 65535, where & 65535
+                    size, begin = far - near + least, off[row] - off[a] + place - far
+                    data = _windows(buf[off[a] : off[b]], begin, size)
+                    name = span_hashes(prefix_sums(buf[off[a] : off[b]]), begin, begin + size) ^ (far << 16 | near).astype(np.uint64)
+                    order = np.lexsort((place, rid[row], ident[row], name))
+                    near_equal = np.flatnonzero(name[order[1:]] == name[order[:-1]])
+                    p, q = order[near_equal], order[near_equal + 1]
+                    dup = np.zeros(len(name), bool)
+                    dup[q[(far[p] == far[q]) & (near[p] == near[q]) & (data[p] == data[q]).all(axis=1)]] = True
+                    if dup.any():
+                        own = ranges_by_row(rid[row[dup]], place[dup] - far[dup], place[dup] - near[dup])
+                        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(own)) % parts, pa.int32()), _with_rid(own)], names=["part", "blob"])
+                    k = ~dup
+                    own = data[k][np.arange(data.shape[1]) < size[k][:, None]]
+                    yield sent([ident[row[k]], rid[row[k]], place[k], far[k], near[k]], to_part(key[k]), own, size[k])
                 a = b
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for p, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if p < 0:
-                    whole = np.frombuffer(b.as_buffer(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[:1]), pa.array([whole[1:].tobytes()], pa.binary())], names=["__cs_rid", "blob"])
-                else:
-                    by.setdefault(p, []).append(received(b.as_buffer(), 5))
-        for p in list(by):
-            got = by.pop(p)
+        for part, blobs in by_part(released(batches)):
+            if part < 0:
+                whole = [np.frombuffer(b, np.int64) for b in blobs]
+                yield pa.RecordBatch.from_arrays([pa.array([int(w[0]) for w in whole], pa.int64()), pa.array([w[1:].tobytes() for w in whole], pa.binary())], names=["__cs_rid", "blob"])
+                continue
+            got = [received(b, 5) for b in blobs]
             ident, rid, place, far, near = np.concatenate([g[0] for g in got], axis=1)
             rids, starts = repeated_strings(ident, rid, place, far, near, np.concatenate([g[1] for g in got]), least)
             if len(rids):
@@ -274,28 +272,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = base.schema["id"].dataType.simpleString()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = text_bytes(batch.column(1))
-            rest = [kept_bytes(buf[off[r] : off[r + 1]], b or [], least) for r, b in enumerate(batch.column(2).to_pylist())]
-            columns = [batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array([x[1] for x in rest], pa.int64()), pa.array([x[2] for x in rest], pa.int64())]
+        for batch in released(batches):
+            buf, off = text_bytes(batch.column(3))
+            rest = [kept_bytes(buf[off[r] : off[r + 1]], b or [], least) for r, b in enumerate(batch.column(4).to_pylist())]
+            columns = [batch.column(2), pa.array(np.diff(off), pa.int64()), pa.array([x[1] for x in rest], pa.int64()), pa.array([x[2] for x in rest], pa.int64())]
             columns.append(pa.array([hashlib.sha256(x[0]).hexdigest() for x in rest], pa.string()))
             if keep_text:
                 columns.append(pa.array([x[0].tobytes() for x in rest], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
 
-    by_row = lambda df: df.groupBy("__cs_rid").agg(F.collect_list("blob").alias("blobs"))
-    spots = base.select("__cs_rid", "ident", "text").mapInArrow(find, PACKED).repartition(n_tasks, "part").mapInArrow(repeated, "__cs_rid long, blob binary")
-    around = base.select("__cs_rid", "ident", "id", "text").join(by_row(spots).hint("shuffle_hash"), "__cs_rid")
-    marked = around.select("__cs_rid", "ident", "text", "blobs").mapInArrow(cut_out, PACKED).repartition(n_tasks, "part").mapInArrow(mark, "__cs_rid long, blob binary")
+    # both joins have the same left side, columns included, so that its texts are shuffled once
+    with_blobs = lambda df: base.join(df.groupBy("__cs_rid").agg(F.collect_list("blob").alias("blobs")), "__cs_rid", "left").select("__cs_rid", "ident", "id", "text", "blobs")
+    spots = dealt(base.select("__cs_rid", "ident", "text").mapInArrow(find, PACKED)).mapInArrow(repeated, "__cs_rid long, blob binary")
+    marked = dealt(with_blobs(spots).mapInArrow(cut_out, PACKED)).mapInArrow(mark, "__cs_rid long, blob binary")
 
     digests = base.where(F.octet_length("text") >= least).select("__cs_rid", "ident", F.sha2("text", 256).alias("sha"))
     first = digests.groupBy("sha").agg(F.min(F.struct("ident", "__cs_rid")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = F.lit(np.array([0, _LAST - 2 * least], np.int64).tobytes())
     copies = digests.join(first, "sha").where("f.__cs_rid <> __cs_rid").select("__cs_rid", whole.alias("blob"))
-    all_marks = by_row(marked.unionAll(copies))
-    out = base.select("__cs_rid", "ident", "id", "text").join(all_marks.hint("shuffle_hash"), "__cs_rid", "left").select("id", "text", "blobs")
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return out.mapInArrow(finish, schema)
+    return with_blobs(marked.unionAll(copies)).mapInArrow(finish, schema)
 
 
 def _with_rid(own: pa.RecordBatch) -> pa.Array:

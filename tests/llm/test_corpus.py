@@ -86,6 +86,45 @@ def test_suffix_dedup(docs, empty):
         assert sorted(map(repr, ((*r[:5], bytes(r.kept)) for r in out))) == sorted(map(repr, want))
         assert sum(w[2] for w in want) > 1000
     assert suffix_dedup.remove_repeats(empty).count() == 0
+    for least in (20, 9000):
+        with pytest.raises(ValueError, match="least"):
+            suffix_dedup.remove_repeats(docs, least=least)
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    rng = random.Random(21)
+    long = prose(rng, 60_000)  # above one piece
+    rows = [(2, long), (1, "start " + long[1000:200_000] + " end"), (3, long[-900:] * 3), (3, "é" * 200_000), (None, long)]
+    for least in (100, 300):
+        seen, want = set(), []
+        for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            b = t.encode()
+            gone = bytearray(len(b))
+            for s in range(len(b) - least + 1):
+                w = hash(b[s : s + least])
+                if w in seen:
+                    gone[s : s + least] = b"\1" * least
+                seen.add(w)
+            want.append((i, len(b), sum(gone)))
+        got = [tuple(r)[:3] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_row_numbers_do_not_depend_on_the_tasks(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(5000).repartition(7).write.parquet(path)
+    number = lambda: {r.id: r["__cs_rid"] for r in numbered(spark.read.parquet(path)).collect()}
+    before = number()
+    had = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("2k", "64k", "1g"):
+            for k in had:
+                spark.conf.set(k, size)
+            assert number() == before
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert len(set(before.values())) == 5000
 
 
 def line_key(line):
