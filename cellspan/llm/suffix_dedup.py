@@ -128,15 +128,16 @@ def _expand(interval: np.ndarray, active: np.ndarray, byte: np.ndarray) -> np.nd
     return active
 
 
-def repeated_strings(ident: np.ndarray, rid: np.ndarray, place: np.ndarray, far: np.ndarray, near: np.ndarray, data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """rid and start of the strings that equal an earlier one.
+def repeated_strings(
+    ident: np.ndarray, rid: np.ndarray, place: np.ndarray, far: np.ndarray, near: np.ndarray, anchor: np.ndarray, data: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rid, first and last start of runs of strings that equal an earlier one.
 
-    Entry i has the bytes from far[i] before its anchor to the end of the string that starts near[i] before it.
+    Entry i stands at place[i] of its text and at anchor[i] of data, which has the bytes from far[i] before it to the end
+    of the string that starts near[i] before it.
     """
     by = np.lexsort((place, rid, ident))
-    size = far - near + least
-    anchor = (np.cumsum(size) - size + far)[by]
-    rid, place, far, near = rid[by], place[by], far[by], near[by]
+    rid, place, far, near, anchor = rid[by], place[by], far[by], near[by], anchor[by]
     n, most = len(by), int(far.max())
     reach = least - near
     right = _windows(data, anchor, reach)
@@ -151,7 +152,7 @@ def repeated_strings(ident: np.ndarray, rid: np.ndarray, place: np.ndarray, far:
         prefix[r, active] = interval[active]
     active = np.flatnonzero(prefix[KMER] >= 0)
     interval[active] = prefix[KMER, active]
-    rids, starts = [], []
+    found = np.zeros((n, most + 3), np.int8)  # by level, with a column before and one behind
     for level in range(most + 1):
         if level:
             active = active[far[active] >= level]
@@ -163,10 +164,24 @@ def repeated_strings(ident: np.ndarray, rid: np.ndarray, place: np.ndarray, far:
             continue
         key = interval[own] * (n + 1) + prefix[least - level, own]
         sort = np.argsort(key, kind="stable")
-        again = np.zeros(len(own), bool)
-        again[sort[1:]] = key[sort[1:]] == key[sort[:-1]]
-        rids.append(rid[own[again]]), starts.append(place[own[again]] - level)
-    return (np.concatenate(rids), np.concatenate(starts)) if rids else (rid[:0], place[:0])
+        again = sort[1:][key[sort[1:]] == key[sort[:-1]]]
+        found[own[again], level + 1] = 1
+    edge = np.diff(found, axis=1)
+    (row, low), (_, high) = np.nonzero(edge > 0), np.nonzero(edge < 0)
+    return rid[row], place[row] - high + 1, place[row] - low
+
+
+def by_kmer(anchor: np.ndarray, data: np.ndarray, most: int = 8192) -> Iterator[np.ndarray]:
+    """Entries in groups of about most, none parted from others of the same k-mer."""
+    key = _windows(data, anchor, np.full(len(anchor), 8)).view(np.uint64)[:, 0]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    a = 0
+    while a < len(key):
+        b = min(len(key), a + most)
+        b = int(np.searchsorted(key, key[b - 1], "right"))
+        yield order[a:b]
+        a = b
 
 
 def kept_bytes(raw: np.ndarray, blobs: list[bytes], least: int) -> tuple[np.ndarray, int, int]:
@@ -204,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if seen.get(name, _LAST) >= ident[r]:
                     use[r] = name not in seen or seen[name] > ident[r]
                     seen[name] = int(ident[r])
-            for i, j in pieces(off):
+            for i, j in pieces(off, 1 << 20):
                 key, row, place, s0, s1 = anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], least)
                 row = row + i
                 keep = use[row] if len(row) else np.zeros(0, bool)
@@ -260,14 +275,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             got = [received(b, 5) for b in blobs]
             ident, rid, place, far, near = np.concatenate([g[0] for g in got], axis=1)
-            rids, starts = repeated_strings(ident, rid, place, far, near, np.concatenate([g[1] for g in got]), least)
+            data = np.concatenate([g[1] for g in got])
+            size = far - near + least
+            anchor = np.cumsum(size) - size + far
+            runs = [repeated_strings(*(x[k] for x in (ident, rid, place, far, near, anchor)), data, least) for k in by_kmer(anchor, data)]
+            rids, first, last = (np.concatenate(x) for x in zip(*runs, strict=True))
             if len(rids):
-                order = np.lexsort((starts, rids))
-                rids, starts = rids[order], starts[order]
-                new = np.ones(len(rids), bool)
-                new[1:] = (rids[1:] != rids[:-1]) | (starts[1:] != starts[:-1] + 1)
-                first = np.flatnonzero(new)
-                yield ranges_by_row(rids[first], starts[first], starts[np.append(first[1:], len(rids)) - 1])
+                yield ranges_by_row(rids, first, last)
 
     kind = base.schema["id"].dataType.simpleString()
 
