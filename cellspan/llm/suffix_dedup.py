@@ -28,7 +28,7 @@ above 8192 is refused.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +184,19 @@ def by_kmer(anchor: np.ndarray, data: np.ndarray, most: int = 8192) -> Iterator[
         a = b
 
 
+def by_document(entries: Iterable[list[np.ndarray]], flush: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """ranges_by_row() of (rid, first, last) entries, gathered up to about flush."""
+    held, n = [], 0
+    for x in entries:
+        held.append(x)
+        n += len(x[0])
+        if n >= flush:
+            yield ranges_by_row(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield ranges_by_row(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
 def kept_bytes(raw: np.ndarray, blobs: list[bytes], least: int) -> tuple[np.ndarray, int, int]:
     """What stays of a document, the bytes removed and their maximal runs."""
     if not blobs or len(raw) < least:
@@ -204,7 +217,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = filed(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = numbered(slim).select("__cs_rid", F.coalesce(F.col("id").cast("long"), F.lit(int(_LAST))).alias("ident"), "id", "text")
     parts = n_parts(spark)
-    to_part = lambda key: ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    # anchors have the smallest hashes of their windows, so parts go by a hash of those
+    to_part = lambda key: ((mix(key.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -228,15 +242,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield sent([key.view(np.int64), rid[row], place << 32 | (place - s0) << 16 | (place - s1)], to_part(key))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_part(released(batches)):
+        def of(blobs: list[pa.Buffer]) -> list[np.ndarray]:
             key, rid, where = np.concatenate([received(b, 3)[0] for b in blobs], axis=1)
             order = np.argsort(key, kind="stable")
             key = key[order]
             again = np.zeros(len(key), bool)
             again[1:] = key[1:] == key[:-1]
             again[:-1] |= again[1:]
-            if again.any():
-                yield ranges_by_row(rid[order][again], key[again], where[order][again])
+            order = order[again]
+            return [rid[order], key[again], where[order]]
+
+        yield from by_document(of(blobs) for _, blobs in by_part(released(batches)))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
@@ -268,20 +284,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 a = b
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, blobs in by_part(released(batches)):
+        def of(part: int, blobs: list[pa.Buffer]) -> Iterator[list[np.ndarray]]:
             if part < 0:
                 whole = [np.frombuffer(b, np.int64) for b in blobs]
-                yield pa.RecordBatch.from_arrays([pa.array([int(w[0]) for w in whole], pa.int64()), pa.array([w[1:].tobytes() for w in whole], pa.binary())], names=["__cs_rid", "blob"])
-                continue
+                both = np.concatenate([w[1:].reshape(-1, 2) for w in whole])
+                yield [np.repeat([w[0] for w in whole], [len(w) // 2 for w in whole]), both[:, 0], both[:, 1]]
+                return
             got = [received(b, 5) for b in blobs]
             ident, rid, place, far, near = np.concatenate([g[0] for g in got], axis=1)
             data = np.concatenate([g[1] for g in got])
             size = far - near + least
             anchor = np.cumsum(size) - size + far
-            runs = [repeated_strings(*(x[k] for x in (ident, rid, place, far, near, anchor)), data, least) for k in by_kmer(anchor, data)]
-            rids, first, last = (np.concatenate(x) for x in zip(*runs, strict=True))
-            if len(rids):
-                yield ranges_by_row(rids, first, last)
+            for k in by_kmer(anchor, data):
+                yield list(repeated_strings(*(x[k] for x in (ident, rid, place, far, near, anchor)), data, least))
+
+        yield from by_document(x for part, blobs in by_part(released(batches)) for x in of(part, blobs))
 
     kind = base.schema["id"].dataType.simpleString()
 
