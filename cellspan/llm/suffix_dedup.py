@@ -101,10 +101,10 @@ def received(blob: bytes | memoryview, columns: int) -> tuple[np.ndarray, np.nda
     return np.frombuffer(blob, np.int64, n * columns, 8).reshape(columns, n), np.frombuffer(blob, np.uint8, offset=8 * (1 + n * columns))
 
 
-def ranges_by_row(rid: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    """One (rid, blob) row per document with its ranges of marked string starts."""
+def by_row(rid: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One (rid, blob) row per document with its entries."""
     order = np.argsort(rid, kind="stable")
-    rid, both = rid[order], np.stack([first[order], last[order]], axis=1)
+    rid, both = rid[order], np.stack([c[order] for c in columns], axis=1)
     ids, begin = np.unique(rid, return_index=True)
     blobs = [b.tobytes() for b in np.split(both, begin[1:])] if len(ids) else []
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["__cs_rid", "blob"])
@@ -184,17 +184,17 @@ def by_kmer(anchor: np.ndarray, data: np.ndarray, most: int = 8192) -> Iterator[
         a = b
 
 
-def by_document(entries: Iterable[list[np.ndarray]], flush: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """ranges_by_row() of (rid, first, last) entries, gathered up to about flush."""
+def gathered(entries: Iterable[tuple[np.ndarray, ...]], flush: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """Entries (arrays of one length) put together up to about flush."""
     held, n = [], 0
     for x in entries:
         held.append(x)
         n += len(x[0])
         if n >= flush:
-            yield ranges_by_row(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
             held, n = [], 0
     if n:
-        yield ranges_by_row(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def kept_bytes(raw: np.ndarray, blobs: list[bytes], least: int) -> tuple[np.ndarray, int, int]:
@@ -242,53 +242,52 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield sent([key.view(np.int64), rid[row], place << 32 | (place - s0) << 16 | (place - s1)], to_part(key))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(blobs: list[pa.Buffer]) -> list[np.ndarray]:
+        def of(blobs: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
             key, rid, where = np.concatenate([received(b, 3)[0] for b in blobs], axis=1)
             order = np.argsort(key, kind="stable")
             key = key[order]
             again = np.zeros(len(key), bool)
             again[1:] = key[1:] == key[:-1]
             again[:-1] |= again[1:]
-            order = order[again]
-            return [rid[order], key[again], where[order]]
+            return rid[order[again]], where[order[again]]
 
-        yield from by_document(of(blobs) for _, blobs in by_part(released(batches)))
+        for both in gathered(of(blobs) for _, blobs in by_part(released(batches))):
+            yield by_row(*both)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             buf, off = text_bytes(batch.column(3))
             rid, ident = (batch.column(c).to_numpy() for c in (0, 1))
             blobs = [b"".join(x) if x else b"" for x in batch.column(4).to_pylist()]
-            upto = np.cumsum([0, *(len(b) // 16 for b in blobs)])
+            upto = np.cumsum([0, *(len(b) // 8 for b in blobs)])
             a = 0
             while a < len(blobs):  # some 40,000 anchors at a time
                 b = max(a + 1, int(np.searchsorted(upto, upto[a] + 40_000)))
                 if upto[b := min(b, len(blobs))] > upto[a]:
-                    key, where = np.frombuffer(b"".join(blobs[a:b]), np.int64).reshape(-1, 2).T
+                    where = np.frombuffer(b"".join(blobs[a:b]), np.int64)
                     row = np.repeat(np.arange(a, b), np.diff(upto[a : b + 1]))
                     place, far, near = where >> 32, where >> 16 & 65535, where & 65535
                     size, begin = far - near + least, off[row] - off[a] + place - far
                     data = _windows(buf[off[a] : off[b]], begin, size)
-                    name = span_hashes(prefix_sums(buf[off[a] : off[b]]), begin, begin + size) ^ (far << 16 | near).astype(np.uint64)
+                    sums = prefix_sums(buf[off[a] : off[b]])
+                    key = span_hashes(sums, begin + far, begin + far + KMER)
+                    name = span_hashes(sums, begin, begin + size) ^ (far << 16 | near).astype(np.uint64)
                     order = np.lexsort((place, rid[row], ident[row], name))
                     near_equal = np.flatnonzero(name[order[1:]] == name[order[:-1]])
                     p, q = order[near_equal], order[near_equal + 1]
                     dup = np.zeros(len(name), bool)
                     dup[q[(far[p] == far[q]) & (near[p] == near[q]) & (data[p] == data[q]).all(axis=1)]] = True
-                    if dup.any():
-                        own = ranges_by_row(rid[row[dup]], place[dup] - far[dup], place[dup] - near[dup])
-                        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(own)) % parts, pa.int32()), _with_rid(own)], names=["part", "blob"])
+                    if dup.any():  # parts below 0 hold marks
+                        yield sent([rid[row[dup]], place[dup] - far[dup], place[dup] - near[dup]], -1 - to_part(key[dup]))
                     k = ~dup
                     own = data[k][np.arange(data.shape[1]) < size[k][:, None]]
                     yield sent([ident[row[k]], rid[row[k]], place[k], far[k], near[k]], to_part(key[k]), own, size[k])
                 a = b
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(part: int, blobs: list[pa.Buffer]) -> Iterator[list[np.ndarray]]:
+        def of(part: int, blobs: list[pa.Buffer]) -> Iterator[tuple[np.ndarray, ...]]:
             if part < 0:
-                whole = [np.frombuffer(b, np.int64) for b in blobs]
-                both = np.concatenate([w[1:].reshape(-1, 2) for w in whole])
-                yield [np.repeat([w[0] for w in whole], [len(w) // 2 for w in whole]), both[:, 0], both[:, 1]]
+                yield tuple(np.concatenate([received(b, 3)[0] for b in blobs], axis=1))
                 return
             got = [received(b, 5) for b in blobs]
             ident, rid, place, far, near = np.concatenate([g[0] for g in got], axis=1)
@@ -296,9 +295,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             size = far - near + least
             anchor = np.cumsum(size) - size + far
             for k in by_kmer(anchor, data):
-                yield list(repeated_strings(*(x[k] for x in (ident, rid, place, far, near, anchor)), data, least))
-
-        yield from by_document(x for part, blobs in by_part(released(batches)) for x in of(part, blobs))
+                yield repeated_strings(*(x[k] for x in (ident, rid, place, far, near, anchor)), data, least)
+
+        for own in gathered(x for part, blobs in by_part(released(batches)) for x in of(part, blobs)):
+            yield sent(own, to_part(own[0]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_part(released(batches)):
+            rid, first, last = np.concatenate([received(b, 3)[0] for b in blobs], axis=1)
+            order = np.lexsort((first, rid))
+            rid, first, last = rid[order], first[order], last[order]
+            last = np.maximum.accumulate(last + (np.cumsum(np.diff(rid, prepend=rid[:1]) != 0) << 33)) & ((1 << 33) - 1)  # within a document
+            new = np.ones(len(rid), bool)
+            new[1:] = (rid[1:] != rid[:-1]) | (first[1:] > last[:-1] + 1)
+            at = np.flatnonzero(new)
+            yield by_row(rid[at], first[at], last[np.append(at[1:], len(rid)) - 1])
 
     kind = base.schema["id"].dataType.simpleString()
 
@@ -315,7 +326,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # both joins have the same left side, columns included, so that its texts are shuffled once
     with_blobs = lambda df: base.join(df.groupBy("__cs_rid").agg(F.collect_list("blob").alias("blobs")), "__cs_rid", "left").select("__cs_rid", "ident", "id", "text", "blobs")
     spots = dealt(base.select("__cs_rid", "ident", "text").mapInArrow(find, PACKED)).mapInArrow(repeated, "__cs_rid long, blob binary")
-    marked = dealt(with_blobs(spots).mapInArrow(cut_out, PACKED)).mapInArrow(mark, "__cs_rid long, blob binary")
+    marked = dealt(dealt(with_blobs(spots).mapInArrow(cut_out, PACKED)).mapInArrow(mark, PACKED)).mapInArrow(merge, "__cs_rid long, blob binary")
 
     digests = base.where(F.octet_length("text") >= least).select("__cs_rid", "ident", F.sha2("text", 256).alias("sha"))
     first = digests.groupBy("sha").agg(F.min(F.struct("ident", "__cs_rid")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -325,11 +336,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return with_blobs(marked.unionAll(copies)).mapInArrow(finish, schema)
 
 
-def _with_rid(own: pa.RecordBatch) -> pa.Array:
-    """Blobs that begin with their rid."""
-    rid = own.column(0).to_numpy()
-    return pa.array([rid[i : i + 1].tobytes() + b for i, b in enumerate(own.column(1).to_pylist())], pa.binary())
-
-
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
