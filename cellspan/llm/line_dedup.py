@@ -111,10 +111,16 @@ def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, size - SHINGLE + 1
 
 
+def sets(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sorted distinct (line, shingle) pairs, 32 bits each."""
+    both = np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(32), counts) | h
+    both.sort()  # np.unique is slow on such keys
+    return both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+
+
 def distinct(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The number of distinct shingles of each line."""
-    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-    return np.bincount((np.unique(line << np.uint64(32) | h) >> np.uint64(32)).astype(np.int64), minlength=len(counts))
+    return np.bincount((sets(h, counts) >> np.uint64(32)).astype(np.int64), minlength=len(counts))
 
 
 def one_permutation(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
@@ -193,19 +199,20 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 def packed_bands(texts: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
-    """PACKED (band key, line hash) of lines; a task sends a line once."""
+    """PACKED (band key, line hash) of lines; a task sends a line once, as far as it remembers (the first 2**20)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(parts), np.zeros(0, np.uint64)
+        packer, seen = Packer(parts), set()
         for batch in released(batches):
             buf, off = text_bytes(batch.column(0))
             for i, j in pieces(off):
                 own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids, first = np.unique(own.hash[own.has], return_index=True)
-                new = ~np.isin(ids, seen, assume_unique=True)
+                new = np.array([x not in seen for x in ids.tolist()], bool)
                 if not new.any():
                     continue
-                seen = np.concatenate([seen, ids[new]])
+                if len(seen) < 1 << 20:
+                    seen.update(ids[new].tolist())
                 wanted = np.zeros(len(own.has), bool)
                 wanted[np.flatnonzero(own.has)[first[new]]] = True
                 yield from packer.add(*band_keys(own.text(wanted)[0], own.hash[wanted].view(np.int64), bands, rows))
@@ -223,13 +230,19 @@ def line_texts(wanted: DataFrame) -> DataFrame:
             place, node = batch.column(1), batch.column(2)
             at = place.offsets.to_numpy()
             for i, j in pieces(off):
-                own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                first = np.searchsorted(own.row, np.arange(j - i))
+                part = parted(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                brk = np.flatnonzero(part == 10)
+                ends_of_rows = off[i + 1 : j + 1] - off[i] + np.arange(j - i)
+                first = np.append(0, np.searchsorted(brk, ends_of_rows[:-1]) + 1)
                 line = np.repeat(first, np.diff(at[i : j + 1])) + place.values.to_numpy()[at[i] : at[j]]
                 order = np.argsort(line)
-                wanted = np.zeros(len(own.has), bool)
-                wanted[line] = True
-                text, ends = own.text(wanted)
+                line = line[order]
+                begin, end = np.append(0, brk + 1)[line], brk[line]
+                step = np.zeros(len(part) + 1, np.int8)
+                step[begin] += 1
+                step[end] -= 1
+                own = Lines(part[np.cumsum(step[:-1], dtype=np.int8) > 0], np.append(0, np.cumsum(end - begin)))
+                text, ends = own.text(own.has)
                 ends = np.append(0, ends).astype(np.int32)
                 lines = pa.StringArray.from_buffers(len(line), pa.py_buffer(ends), pa.py_buffer(text))
                 size, sketch = sketches(text)
@@ -256,31 +269,43 @@ def shingle_set(line: str) -> frozenset[str]:
 
 
 class Same:
-    """Whether two lines' shingle sets are similar; sets of the last lines are kept."""
+    """Whether lines' shingle sets are similar, by pairs."""
 
-    def __init__(self, similarity: Fraction, most: int = 1000):
-        self.similarity, self.most = similarity, most
-        self.kept: dict[str, frozenset[str]] = {}
+    def __init__(self, similarity: Fraction):
+        self.similarity = similarity
 
-    def set_of(self, line: str) -> frozenset[str]:
-        if (s := self.kept.get(line)) is None:
-            if len(self.kept) >= self.most:
-                self.kept.clear()
-            s = self.kept[line] = shingle_set(line)
-        return s
-
-    def __call__(self, x: str, y: str) -> bool:
-        p, q = self.set_of(x), self.set_of(y)
+    def one(self, x: str, y: str) -> bool:
+        p, q = shingle_set(x), shingle_set(y)
         both = len(p & q)
         return self.similarity.denominator * both >= self.similarity.numerator * (len(p) + len(q) - both)
 
+    def __call__(self, xs: list[str], ys: list[str], most: int = 1 << 20) -> np.ndarray:
+        """Sets of 32-bit hashes decide unless they are within two shingles of the bound; there, the shingles do."""
+        out, a = np.zeros(len(xs), bool), 0
+        while a < len(xs):
+            b, n = a, 0
+            while b < len(xs) and (b == a or n < most):
+                n += len(xs[b]) + len(ys[b])
+                b += 1
+            p, q = (sets(*shingles(np.frombuffer("".join(v[a:b]).encode(), np.uint8))) for v in (xs, ys))
+            all_ = np.sort(np.concatenate([p, q]))
+            count = lambda v, n=b - a: np.bincount((v >> np.uint64(32)).astype(np.int64), minlength=n)
+            both = count(all_[1:][all_[1:] == all_[:-1]])
+            num, den = self.similarity.numerator, self.similarity.denominator
+            over = den * both - num * (count(all_) - both)
+            out[a:b] = over >= 0
+            for k in np.flatnonzero(np.abs(over) <= 2 * (num + den)):
+                out[a + k] = self.one(xs[a + k], ys[a + k])
+            a = b
+        return out
+
 
 def similar(pairs: DataFrame, same: Same) -> DataFrame:
     """The (a, b) of (a, b, line_a, line_b) whose shingle sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            keep = [same(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = same(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -294,10 +319,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = cut(line_hashes(base))
     buckets = cut(buckets_of(packed_bands(slim.select("text"), bands, rows, n_parts(spark))))
     spots = lines.select("__cs_rid", "id", F.posexplode("lines").alias("place", "node")).where("node IS NOT NULL")
+    order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("__cs_rid"), F.col("place"))
+    each = cut(spots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")))
 
     low = buckets.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LOW).alias("low"))
-    owner = spots.join(low.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("__cs_rid", "place")).alias("o"))
-    asked = owner.groupBy("o.__cs_rid").agg(F.collect_list(F.struct("o.place", "node")).alias("l"))
+    owner = each.join(low.select("node"), "node", "left_semi")
+    asked = owner.groupBy("first.__cs_rid").agg(F.collect_list(F.struct("first.place", "node")).alias("l"))
     wanted = base.select("__cs_rid", "text").join(asked.hint("shuffle_hash"), "__cs_rid")
     texts = cut(line_texts(wanted.select("text", "l.place", "l.node")))
     same = Same(Fraction(similarity).limit_denominator(1000))
@@ -309,9 +336,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = texts.join(low, "node").select("node", "size", "sketch", "low", F.col("line").alias("payload"))
     linked = resolve(buckets, verify, marks, Whole(same.similarity), same)
     discard(buckets, texts)
-    order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("__cs_rid"), F.col("place"))
-    each = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).join(linked, "node", "left")
-    many = each.where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    many = each.join(linked, "node", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     best = many.groupBy("root").agg(F.min("first").alias("best"))
     keeper = cut(many.join(best, "root").select("node", "best"))
     gone = spots.join(keeper, "node").where(~((F.col("best.__cs_rid") == F.col("__cs_rid")) & (F.col("best.place") == F.col("place"))))

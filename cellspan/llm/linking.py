@@ -243,14 +243,21 @@ class Bucketed:
     def links(self, allow: Whole, same: Callable) -> Iterator[np.ndarray]:
         """The pairs that same() confirms, as far as they join components."""
         for both in self.pairs(allow):
-            keep = []
-            for k, (x, y) in enumerate(both.T.tolist()):
-                p, q = self.label[self.at[x]], self.label[self.at[y]]
-                if p != q and same(self.payload[self.order[x]], self.payload[self.order[y]]):
-                    self.label[self.label == p] = q
-                    keep.append(k)
-            if keep:
-                yield both[:, keep]
+            for i in range(0, both.shape[1], 512):
+                x, y = both[:, i : i + 512]
+                apart = self.label[self.at[x]] != self.label[self.at[y]]
+                x, y = x[apart], y[apart]
+                if not len(x):
+                    continue
+                ok = same(*([self.payload[k] for k in self.order[z]] for z in (x, y)))
+                keep = []
+                for k in np.flatnonzero(ok).tolist():
+                    p, q = self.label[self.at[x[k]]], self.label[self.at[y[k]]]
+                    if p != q:
+                        self.label[self.label == p] = q
+                        keep.append(k)
+                if keep:
+                    yield np.stack([x[keep], y[keep]])
 
 
 def near(rows: DataFrame, allow: Whole, same: Callable | None = None, flush: int = 1 << 15) -> DataFrame:
