@@ -251,8 +251,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             again[:-1] |= again[1:]
             return rid[order[again]], where[order[again]]
 
-        for both in gathered(of(blobs) for _, blobs in by_part(released(batches))):
-            yield by_row(*both)
+        for own in gathered(of(blobs) for _, blobs in by_part(released(batches))):
+            yield sent(own, to_part(own[0]))
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_part(released(batches)):
+            yield by_row(*np.concatenate([received(b, 2)[0] for b in blobs], axis=1))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
@@ -325,7 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # both joins have the same left side, columns included, so that its texts are shuffled once
     with_blobs = lambda df: base.join(df.groupBy("__cs_rid").agg(F.collect_list("blob").alias("blobs")), "__cs_rid", "left").select("__cs_rid", "ident", "id", "text", "blobs")
-    spots = dealt(base.select("__cs_rid", "ident", "text").mapInArrow(find, PACKED)).mapInArrow(repeated, "__cs_rid long, blob binary")
+    spots = dealt(dealt(base.select("__cs_rid", "ident", "text").mapInArrow(find, PACKED)).mapInArrow(repeated, PACKED)).mapInArrow(back, "__cs_rid long, blob binary")
     marked = dealt(dealt(with_blobs(spots).mapInArrow(cut_out, PACKED)).mapInArrow(mark, PACKED)).mapInArrow(merge, "__cs_rid long, blob binary")
 
     digests = base.where(F.octet_length("text") >= least).select("__cs_rid", "ident", F.sha2("text", 256).alias("sha"))
