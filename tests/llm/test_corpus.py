@@ -283,6 +283,51 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_against_every_alignment(spark):
+    rng = random.Random(31)
+    vocabulary, law = ["".join(rng.choice("bcdfgaeiou") for _ in range(rng.randrange(2, 8))) for _ in range(300)], [1 / (k + 3) for k in range(300)]
+    words = lambda n: rng.choices(vocabulary, law, k=n)
+    items = [words(rng.choice([16, 24, 40, 60])) for _ in range(30)]
+    texts = [words(rng.randrange(20, 150)) for _ in range(60)]
+    for item in items:
+        for share in (0.05, 0.15, 0.2):
+            part = list(item)
+            for _ in range(int(share * len(item))):
+                at, how = rng.randrange(len(part)), rng.randrange(3)
+                part[at : at + 1] = {0: [], 1: [rng.choice(vocabulary), part[at]], 2: [rng.choice(vocabulary)]}[how]
+            texts.append(words(20) + part + words(rng.randrange(20)))
+    texts += [texts[-1], [], words(30_000) + items[0] + words(100)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    number = {w: k + 1 for k, w in enumerate(vocabulary)}
+    coded = lambda t: np.array([number[w] for w in t], np.uint64)
+    want = {(i, k): e for i, t in enumerate(texts) for k, item in enumerate(items) if (e := decontaminate.stretch_distance(coded(item), coded(t))) <= int(0.2 * len(item) + 1e-9)}
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash"))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(table, bench).collect()}
+    assert set(got) <= set(want) and len(want) > 90
+    assert len(got) >= 0.95 * len(want) and sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+    assert (len(texts) - 1, 0) in got
+
+
+def test_unrelated_windows_are_rejected():
+    rng = np.random.default_rng(4)
+    words = lambda n: rng.integers(1, 1 << 40, n).astype(np.uint64)
+    texts = [" ".join(map(str, words(n))) for n in (16, 30, 45, 60)]
+    options = inspect.signature(decontaminate.find_leaks).parameters
+    items = decontaminate.Items(texts, 0.2, *(options[k].default for k in ("walks", "tables", "bits", "seed")))
+    for i, most in enumerate((0.35, 0.1, 0.05, 0.05)):
+        n, flat, runs = int(items.n[i]), words(70_000), words(70_000)
+        start = np.arange(0, 1000 * 65, 65)
+        for s in start:
+            at = int(rng.integers(0, n - 4))
+            runs[s + at : s + at + 4] = items.words[i][at : at + 4]
+        of = np.full(len(start), i)
+        assert items.agree(flat, start, start + 65, of).mean() <= 0.01
+        assert items.agree(runs, start, start + 65, of).mean() <= most  # one shared run alone
+        flat[:n] = items.words[i]
+        assert items.agree(flat, start[:1], start[:1] + n, of[:1]).all() and not items.agree(flat, start[:1], start[:1] + 2, of[:1]).any()
+
+
 def test_pieces_of_few_words(spark):
     for m in range(5):
         words, row = np.arange(1, m + 1, dtype=np.uint64), np.zeros(m, np.int64)
