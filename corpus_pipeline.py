@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and
 reads it again as the next stage's docs. All but the last return the columns of documents.
+
+Cases, for every stage: an empty table gives an empty result; columns other than those of documents are dropped, whatever
+their names; rows with a null id are documents like others; repeated rows are documents of their own unless the stage's
+docstring says otherwise; texts of any length are read in whole.
 """
 
 from __future__ import annotations
@@ -12,18 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.llm import decontaminate, jaccard_join, language_id, line_dedup, token_mix
-from cellspan.llm.common import WORD_SPLIT, cut
+from cellspan.llm.common import WORD_SPLIT, cut, discard, filed, numbered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; what language ID rejects goes."""
+    """Documents whose language is identified; what language ID rejects goes: null texts, texts without a letter, and narrow margins."""
     return language_id.identify(docs, language_id.learned_from(docs)).where("NOT rejected").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has; those that have lost lines and have no word left go."""
+    """Documents without the lines that an earlier one has (the smaller id is earlier, nulls last, then the row).
+
+    Those that have lost lines and have no word left go; of repeated rows one stays. Null and empty texts stay as they are.
+    """
     kept = line_dedup.dedup_lines(docs)
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), WORD_SPLIT), ""))
     kept = kept.where((F.col("n_removed") == 0) | (words > 0))
@@ -31,19 +38,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by five-word shingles at a similarity of 0.8 or more."""
+    """One document of each group that is linked by five-word shingles at a similarity of 0.8 or more: the smallest id, nulls last.
+
+    Of repeated rows one stays. Documents without a word are alike to none and stay.
+    """
     return jaccard_join.drop_similar(docs, 5, Fraction(4, 5)).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    base = line_dedup.numbered(docs)
+    """Documents without a benchmark passage; null and empty texts stay, and so does everything if the benchmark is empty."""
+    base = numbered(filed(docs.select(*COLUMNS)))
     hits = decontaminate.find_leaks(base, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__cs_rid")
     return base.join(cut(hits.select("__cs_rid").distinct()), "__cs_rid", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: size, source_size, target and taken (words, repeats counted) of each document."""
+    """The mix: size, source_size, target and taken (words, repeats counted) of each document; null texts have size 0, a null source is a source."""
     return token_mix.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -55,12 +65,13 @@ STAGES = [
     ("token_mix", mix),
 ]
 
-#: SQL can't express compression, MinHash or the knapsack; tests/llm compares the stages with brute force.
+#: SQL can't express compression, MinHash or the knapsack; tests/llm compares each stage with a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
