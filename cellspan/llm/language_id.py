@@ -1,8 +1,8 @@
 """Language identification by compression.
 
-For each language, a raw-content zstandard dictionary is made from a bounded, seeded sample of labelled rows
-(`sample_docs` documents at most, `sample_chars` characters of each, from a seeded place, and `dictionary_bytes` in
-all). Texts are compared by their letters: ASCII is lower-cased, and what else is in ASCII becomes single spaces. A text
+For each language, a raw-content zstandard dictionary is made from a bounded, seeded sample of labelled rows: of
+`sample_docs` different texts at most, each from a seeded place, an equal share of `dictionary_bytes` (`sample_chars`
+characters at most). Texts are compared by their letters: ASCII is lower-cased, and what else is in ASCII becomes single spaces. A text
 is cut into blocks of `block_bytes`, each block is compressed with each language's dictionary, and the sums over the
 whole text are compared: the smallest wins. If the runner-up needs less than `least_margin` more bytes
 (as a share of what the dictionaries save at best), the result is `rejected`.
@@ -48,10 +48,10 @@ def learn(
     """A dictionary for each language of the training rows, from a seeded sample bounded by the parameters."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.lit(seed), text_col), F.lit(1 << 40)).alias("h"))
-    counts = dict(rows.where("t <> ''").groupBy("l").count().collect())
+    counts = dict(rows.where("t <> ''").groupBy("l").agg(F.approx_count_distinct("h", 0.02)).collect())
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, int(min(1.0, 2 * sample_docs / n) * (1 << 40)))])[F.col("l")]
+    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, int(min(1.0, 2 * sample_docs / max(1, n)) * (1 << 40)))])[F.col("l")]
     picked = (
         rows.where("t <> ''").where(F.col("h") < share)
         .select("l", "h", F.expr(f"substring(t, CAST(1 + h % greatest(1, length(t) - {sample_chars} + 1) AS INT), {sample_chars})").alias("s"))
@@ -60,7 +60,8 @@ def learn(
     by: dict[str, list[tuple[int, str]]] = {}
     for l, h, s in picked.collect():
         by.setdefault(l, []).append((h, s))
-    return {l: "\n".join(s for _, s in sorted(v)[:sample_docs]).encode()[-dictionary_bytes:] for l, v in sorted(by.items())}
+    each = lambda v: max(1, dictionary_bytes // min(len(v), sample_docs) - 1)
+    return {l: b"\n".join(s.encode()[: each(v)] for _, s in sorted(v)[:sample_docs]) for l, v in sorted(by.items())}
 
 
 def letters(buf: np.ndarray) -> bytes:
@@ -130,4 +131,4 @@ def learned_from(docs: DataFrame, **options) -> dict[str, bytes]:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     slim = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return identify(slim, learned_from(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(slim, learned_from(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")

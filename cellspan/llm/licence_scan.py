@@ -1,16 +1,19 @@
 """Licence scans: a trained paragraph classifier with an unknown class, confirmed by templates.
 
 Training (driver, once): multinomial logistic regression with an L1 penalty over word 1- and 2-grams, on the licence
-statements below and a bounded, seeded sample of the corpus's own paragraphs (`sample_docs` documents) as the class
-"none". Only n-grams of the statements are features. Calibration: on statements that are reworded (words left out), a
-temperature is fitted by likelihood; a paragraph is reported if "none" has at most `most_none`, and a
-family's probability below `least_probability` is "unknown".
+statements below, sentences that use their words in another sense, and a bounded, seeded sample of the corpus's own
+paragraphs (one whole line, at a seeded place, of `sample_docs` documents at most) as the class "none". Sampled lines that
+a template confirms are licences and not "none", so they are left out. Only n-grams of the statements are features.
+Calibration is on wordings that training doesn't see (`HELD_OUT`) and a held-out fifth of the sample: a temperature is
+fitted by likelihood. A paragraph is reported if "none" has at most `most_none`, and a family's probability below
+`least_probability` is "unknown".
 
 Every paragraph is scored that may have an n-gram with a non-zero weight: cues are the first words of those n-grams.
-Without any, the biases alone decide, for the class "none".
+Without any, the biases alone decide; training makes sure that they decide for the class "none", so nothing is lost.
 
 Scanning is DataFrame code in one pass without a shuffle. Paragraphs are the lines of a text. What is predicted as a
-family is compared with the family's templates: the share of a template's words that the paragraph has. Below
+family is compared with the family's templates: the share of a template's words that the paragraph has, where a word
+weighs the more the fewer families have it. Below
 `least_overlap` the family is not confirmed and the result is "unknown".
 
 Cases: null or empty texts have no paragraphs. Repeated paragraphs and rows are reported each. Ties go to the first
@@ -35,11 +38,13 @@ STATEMENTS = {
         "This software is licensed under the MIT License.",
         "Distributed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "SPDX-License-Identifier: MIT",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Released under the Apache License 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -67,13 +72,48 @@ STATEMENTS = {
         "This work is licensed under a proprietary license.",
         "Use of this text is subject to the license agreement.",
         "Copyright by the authors. Redistribution without permission is prohibited.",
+        "Available under the Artistic License 2.0.",
+        "Available under OFL 1.1.",
+        "Code available under CDDL 1.1.",
+        "Made available under EPL 2.0.",
+        "Licensed under the Academic Free License 3.0.",
+        "Licensed under the Common Development Public License 1.0.",
     ],
 }
+#: Sentences that use the statements' words in another sense.
+OTHER_SENSE = [
+    "The public was let in by the east door.", "This domain of science is old.", "He has all his rights.", "Seats are reserved for guests.",
+    "A new version was released in May.", "The tent is available under the tree.", "The general public may visit the village.", "They work in the public interest.",
+    "She holds a driving license.", "The apache people live in the south.", "Terms of the lease are subject to change.", "The library lent a copy of this work to any person.",
+    "Permission to enter was granted by the general.", "Creative work is its own reward.", "The gnu is an animal of the plains.", "The source of the river is free of charge to visit.",
+]
+#: Wordings by class for calibration alone.
+HELD_OUT = {
+    "mit": ["MIT License.", "The code is released under the MIT license."], "apache": ["Apache License 2.0 applies.", "Available under the Apache License."],
+    "gpl": ["Distributed under the GNU General Public License version 3.", "GNU GPL version 3."], "lgpl": ["Distributed under the GNU Lesser General Public License."],
+    "bsd": ["Distributed under the BSD 3-Clause License."], "mpl": ["Distributed under the Mozilla Public License 2.0."], "cc_by": ["Text is available under CC BY 4.0."],
+    "cc_by_sa": ["Text is available under CC BY-SA 4.0."], "cc_by_nc": ["Text is available under CC BY-NC 4.0."], "public_domain": ["Dedicated to the public domain."],
+    "unknown": ["Licensed under a commercial license.", "Available under the Zope Public License."],
+    "none": ["The copy of the work is in the library.", "A public license office opens in May."],
+}
 CLASSES = ["none", *STATEMENTS]
 
 
 def tokens(text: str) -> list[str]:
-    return [w for w in re.split("[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    """Words, ASCII lower-cased, in American spelling."""
+    return [w for w in re.split("[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).replace("licenc", "licens")) if w]
+
+
+def word_weights() -> dict[str, float]:
+    """Words of the statements, by the logarithm of the families over those that have the word (0.05 at least)."""
+    by = [{w for s in v for w in tokens(s)} for v in STATEMENTS.values()]
+    return {w: max(0.05, float(np.log(len(by) / sum(w in f for f in by)))) for w in sorted(set().union(*by))}
+
+
+def confirmed_by(words: list[str], least: float) -> bool:
+    """Whether some template has at least that share of its weight in words."""
+    weight, has = word_weights(), set(words)
+    return any(sum(weight[w] for w in set(tokens(s)) & has) >= least * sum(weight[w] for w in set(tokens(s))) for v in STATEMENTS.values() for s in v)
 
 
 def grams(words: list[str]) -> list[str]:
@@ -106,16 +146,19 @@ def train(negatives: list[str], seed: int = 3, penalty: float = 2e-4, steps: int
     def reworded(words: list[str]) -> list[str]:
         return [w for w in words if rng.random() > drop] or words
 
-    texts, y, held, held_y = [], [], [], []
+    texts, y = [], []
     for c, name in enumerate(CLASSES[1:], 1):
         for s in STATEMENTS[name]:
             w = tokens(s)
             texts += [w] * 3 + [reworded(w) for _ in range(copies)]
             y += [c] * (3 + copies)
-            held += [w, reworded(w)]
-            held_y += [c, c]
-    for s in negatives:
-        texts.append(tokens(s)), y.append(0)
+    for k, s in enumerate([*negatives, *OTHER_SENSE * max(1, len(negatives) // 50)]):
+        if k % 5 or k >= len(negatives):
+            texts.append(tokens(s)), y.append(0)
+    held = [tokens(s) for v in HELD_OUT.values() for s in v]
+    held_y = [CLASSES.index(c) for c, v in HELD_OUT.items() for _ in v]
+    for s in negatives[::5][: len(held)]:
+        held.append(tokens(s)), held_y.append(0)
     x, y = rows(texts), np.array(y)
     w, b = np.zeros((len(features), len(CLASSES))), np.zeros(len(CLASSES))
     weight = 1.0 / np.bincount(y, minlength=len(CLASSES))[y].clip(1)
@@ -130,6 +173,7 @@ def train(negatives: list[str], seed: int = 3, penalty: float = 2e-4, steps: int
         w -= rate * (x.T @ g)
         b -= rate * g.sum(axis=0)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
+    b[0] = max(b[0], b.max() + 1e-6)  # a paragraph without a feature is of the class "none"
     z, hy = rows(held) @ w + b, np.array(held_y)
 
     def loss(t: float) -> float:
@@ -144,17 +188,19 @@ def train(negatives: list[str], seed: int = 3, penalty: float = 2e-4, steps: int
 
 
 def sample_paragraphs(docs: DataFrame, id_col: str, text_col: str, sample_docs: int, seed: int) -> list[str]:
-    """Paragraphs without the commonest licence words, of a seeded sample of sample_docs documents at most."""
+    """A line each of sample_docs documents at most; those that a template confirms are left out."""
     n = docs.count()
     share = min(1.0, sample_docs / max(1, n))
+    place = F.xxhash64(F.lit(seed), F.col("t"))
     rows = (
         docs.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
-        .select(F.substring(F.element_at(F.split(F.col(text_col), "\n"), 1), 1, 1000).alias("p"))
-        .where("p IS NOT NULL AND NOT lower(p) RLIKE 'licen|copyright|rights reserved|public domain|warrant'")
+        .select(F.col(text_col).alias("t"))
+        .select(F.get(F.split("t", "\n"), F.pmod(place, F.size(F.split("t", "\n"))).cast("int")).alias("p"))
+        .where("trim(p) <> ''")
         .orderBy(F.xxhash64("p"), "p")
         .limit(sample_docs)
     )
-    return [r[0] for r in rows.collect()]
+    return [r[0] for r in rows.collect() if not confirmed_by(tokens(r[0]), 0.6)]
 
 
 def _literal_map(model: Model) -> Column:
@@ -168,14 +214,15 @@ def scan(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_probability: float = 0.5, least_overlap: float = 0.6, most_none: float = 0.1,
 ) -> DataFrame:
     """id, paragraph (0-based line), family, probability and overlap of each licence paragraph."""
+    plain = lambda c: F.replace(lower_ascii(c), F.lit("licenc"), F.lit("licens"))
     cues = F.array(*[F.lit(c) for c in model.cues])
     lines = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        .where(F.arrays_overlap(F.split(lower_ascii(F.col("t")), "[^a-z0-9]+"), cues))
+        .where(F.arrays_overlap(F.split(plain(F.col("t")), "[^a-z0-9]+"), cues))
         .select("id", F.expr("transform(split(t, '\\n'), (p, i) -> struct(i AS paragraph, p AS p))").alias("ps"))
     )
-    gate = lambda s: F.arrays_overlap(F.split(lower_ascii(s["p"]), "[^a-z0-9]+"), cues)
-    found = lines.select("id", F.explode(F.filter("ps", gate)).alias("s")).select("id", "s.paragraph", lower_ascii(F.col("s.p")).alias("p"))
+    gate = lambda s: F.arrays_overlap(F.split(plain(s["p"]), "[^a-z0-9]+"), cues)
+    found = lines.select("id", F.explode(F.filter("ps", gate)).alias("s")).select("id", "s.paragraph", plain(F.col("s.p")).alias("p"))
     words = found.withColumn("w", F.array_remove(F.split("p", "[^a-z0-9]+"), "")).drop("p")
     feats = words.withColumn(
         "f", F.expr("array_distinct(concat(w, CASE WHEN size(w) > 1 THEN transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])) ELSE array() END))")
@@ -190,14 +237,15 @@ def scan(
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp((v - F.col("top")) / F.lit(model.temperature)))
     scored = scored.where("best > 0").withColumns({"probability": 1 / total, "none": F.exp((F.col("z")[0] - F.col("top")) / F.lit(model.temperature)) / total})
     scored = scored.where(F.col("none") <= most_none)
-    overlap = F.lit(0.0)
+    overlap, weight = F.lit(0.0), word_weights()
     for c, name in enumerate(CLASSES):
         if name in STATEMENTS:
             shares = []
             for s in STATEMENTS[name]:
                 t = sorted(set(tokens(s)))
-                shares.append(F.size(F.array_intersect("w", F.array(*[F.lit(x) for x in t]))) / F.lit(float(len(t))))
-            overlap = F.when(F.col("best") == c, F.greatest(*shares)).otherwise(overlap)
+                has = sum((F.when(F.array_contains("w", x), weight[x]).otherwise(0.0) for x in t), F.lit(0.0))
+                shares.append(has / F.lit(sum(weight[x] for x in t)))
+            overlap = F.when(F.col("best") == c, F.array_max(F.array(*shares))).otherwise(overlap)
     family = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("best") + 1)
     out = scored.withColumn("overlap", F.round(overlap, 6))
     sure = (F.col("probability") >= least_probability) & (F.col("overlap") >= least_overlap)

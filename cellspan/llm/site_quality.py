@@ -1,11 +1,13 @@
 """Quality classification with hierarchical empirical Bayes over sites.
 
 A logistic regression over `FEATURES` of a document's whole text is fitted on a bounded, seeded sample of labelled
-documents (`sample_docs`). Its probability is a document's own evidence. Labels, and the evidence where there is no
-label, are summed by path (site and path columns) and by site. Each site's rate is shrunk toward the global rate, and
-each path's rate toward its site's, by Beta priors whose strengths come from the spread of the rates (method of
-moments), so sparse sites stay near their parents. A document's score adds its own log odds to those of its path,
-relative to the global ones.
+documents (`sample_docs`). Its probability is a document's own evidence; its log odds are bounded by `evidence_cap`, so
+that a fit to separable labels can't outvote every site. Labels, and the evidence where there is no label, are summed by
+path (site and path columns) and by site. Each site's rate is shrunk toward the global rate, and each path's toward its
+site's, by Beta priors. Their strengths come from the spread of the rates beyond what sampling explains (analysis of
+variance: the mean square between groups less the one within), so sites of few documents, and sites that differ no more
+than chance makes them, stay near their parents. A document's own label or evidence is left out of the rates it is
+judged by. Its score adds its own log odds to those of its path, relative to the global ones.
 
 Features are computed where texts are read; after that only numbers move. Sums by path are partial first, so a hot
 site costs no more than others.
@@ -99,11 +101,25 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np
     return w
 
 
+def strength(mu: float, squares: float, parents: float, groups: float, n: int, n_parents: int, n_groups: int, spare: float, most: float = 1e6) -> float:
+    """The Beta prior's strength for groups within parents: mu (1 - mu) / variance between - 1, from 1 to most.
+
+    squares is the sum of squared values; parents and groups are the sums of (sum squared / size) by parent and by group;
+    spare is n less the sum over parents of (sum of squared group sizes / parent size).
+    """
+    if n_groups <= n_parents or spare <= 0:
+        return most
+    whole = max(1e-12, squares / n - mu * mu)
+    within = (squares - groups) / (n - n_groups) if n > n_groups else whole * n / max(1, n - 1)
+    between = ((groups - parents) / (n_groups - n_parents) - within) * (n_groups - n_parents) / spare
+    return float(min(most, max(1.0, mu * (1 - mu) / between - 1))) if between > 1e-9 else most
+
+
 def judge_sites(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", label_col: str = "quality",
     sample_docs: int = 20_000, seed: int = 9, threshold: float = 0.5, evidence_cap: float = 8.0,
 ) -> DataFrame:
-    """id, evidence, site_rate, path_rate, score and kept of each row."""
+    """id, evidence, site_rate and path_rate (without the row itself), score and kept of each row."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("y"))
     slim = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     rows = cut(described(slim).join(known, "id", "left"))
@@ -114,22 +130,26 @@ def judge_sites(
     linear = sum((F.col("x")[i] * F.lit(float(v)) for i, v in enumerate(w[:-1])), F.lit(float(w[-1])))
     bounded = F.greatest(F.lit(-evidence_cap), F.least(F.lit(evidence_cap), linear))
     own = rows.select("id", F.coalesce(F.concat(F.lit("v"), F.col("site").cast("string")), F.lit("n")).alias("s"), F.coalesce(F.concat(F.lit("v"), F.col("path").cast("string")), F.lit("n")).alias("p"), "y", bounded.alias("z"))
-    own = own.withColumn("evidence", 1 / (1 + F.exp(-F.col("z"))))
-    paths = own.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("y", "evidence")).alias("k"))
-    sites = paths.groupBy("s").agg(F.sum("n").alias("sn"), F.sum("k").alias("sk"))
-    mean = sites.agg((F.sum("sk") / F.greatest(F.sum("sn"), F.lit(1))).alias("mu"))
-    strength = lambda r, c, m: F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / F.greatest(F.lit(1e-6), r) - c))
-    whole = sites.crossJoin(F.broadcast(mean)).groupBy("mu").agg(F.avg(F.pow(F.col("sk") / F.col("sn") - F.col("mu"), 2)).alias("spread"))
-    whole = whole.select("mu", strength(F.col("spread"), 1.0, F.col("mu")).alias("m_site"))
-    site_rates = sites.crossJoin(F.broadcast(whole)).withColumn("site_rate", (F.col("sk") + F.col("m_site") * F.col("mu")) / (F.col("sn") + F.col("m_site")))
-    near = paths.join(site_rates, "s")
-    inner = near.groupBy("mu").agg(F.avg(F.pow(F.col("k") / F.col("n") - F.col("site_rate"), 2)).alias("spread"))
-    inner = inner.select(strength(F.col("spread"), 1.0, F.col("mu")).alias("m_path"))
-    rates = near.crossJoin(F.broadcast(inner)).withColumn("path_rate", (F.col("k") + F.col("m_path") * F.col("site_rate")) / (F.col("n") + F.col("m_path")))
+    own = own.withColumn("evidence", 1 / (1 + F.exp(-F.col("z")))).withColumn("v", F.coalesce("y", "evidence"))
+    paths = cut(own.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("k"), F.sum(F.col("v") * F.col("v")).alias("q")))
+    sites = paths.groupBy("s").agg(F.sum("n").alias("sn"), F.sum("k").alias("sk"), F.sum("q").alias("sq"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("n_paths"))
+    sums = sites.agg(
+        F.sum("sn").alias("n"), F.sum("sk").alias("k"), F.sum("sq").alias("q"), F.count(F.lit(1)).alias("sites"), F.sum("n_paths").alias("paths"),
+        F.sum(F.col("sk") * F.col("sk") / F.col("sn")).alias("site_part"), F.sum(F.col("sn") * F.col("sn")).alias("site_squares"), F.sum(F.col("squares") / F.col("sn")).alias("path_squares"),
+    ).first()
+    path_part = paths.agg(F.sum(F.col("k") * F.col("k") / F.col("n"))).first()[0]
+    total = sums.n or 1
+    mu = (sums.k or 0.0) / total
+    m_site = m_path = 0.0
+    if sums.n:
+        m_site = strength(mu, sums.q, sums.k**2 / total, sums.site_part, total, 1, sums.sites, total - sums.site_squares / total)
+        m_path = strength(mu, sums.q, sums.site_part, path_part, total, sums.sites, sums.paths, total - sums.path_squares)
+    joined = own.join(paths.join(sites.select("s", "sn", "sk"), "s").select("s", "p", "n", "k", "sn", "sk"), ["s", "p"])
+    joined = joined.withColumn("site_rate", (F.col("sk") - F.col("v") + m_site * mu) / (F.col("sn") - 1 + m_site))
+    joined = joined.withColumn("path_rate", (F.col("k") - F.col("v") + m_path * F.col("site_rate")) / (F.col("n") - 1 + m_path))
     clip = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
     odds = lambda c: F.log(clip(c) / (1 - clip(c)))
-    joined = own.join(rates.select("s", "p", "site_rate", "path_rate", "mu"), ["s", "p"])
-    score = 1 / (1 + F.exp(-(F.col("z") + odds(F.col("path_rate")) - odds(F.col("mu")))))
+    score = 1 / (1 + F.exp(-(F.col("z") + odds(F.col("path_rate")) - odds(F.lit(mu)))))
     out = joined.withColumn("score", score)
     return out.select(F.col("id").alias(id_col), "evidence", "site_rate", "path_rate", "score", (F.col("score") >= threshold).alias("kept"))
 

@@ -455,6 +455,38 @@ def test_licence_scan(spark, docs, empty):
     assert licence_scan.scan(empty, model).count() == 0
 
 
+def test_licence_scan_of_other_wordings(spark):
+    rng = random.Random(12)
+    model = licence_scan.train([prose(rng, 12) for _ in range(300)])
+    want = {"The MIT licence applies to this work.": "mit", "SPDX-License-Identifier: Apache-2.0": "apache", "Licensed under the Eclipse Public License 2.0": "unknown", "available under EUPL 1.2": "unknown"}
+    texts = [*want, "The general public may visit the apache village.", "word " * 50_000 + "\nAll rights reserved.", "All rights reserved.\n\nAll rights reserved."]
+    table = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").withColumn("paragraph", F.lit("clash"))
+    found = licence_scan.scan(table, model).collect()
+    clean = [(r.doc_id, r.paragraph, r.family) for r in found]
+    assert sorted(clean) == sorted([(0, 0, "mit"), *((i, 0, f) for i, f in enumerate(want.values())), (5, 1, "unknown"), (6, 0, "unknown"), (6, 2, "unknown")])
+    assert np.argmax(model.bias) == 0
+
+
+def test_licence_scores_equal_a_plain_model(spark):
+    rng = random.Random(13)
+    model = licence_scan.train([prose(rng, 12) for _ in range(200)])
+    texts = [s for v in licence_scan.STATEMENTS.values() for s in v] + [s for v in licence_scan.HELD_OUT.values() for s in v] + licence_scan.OTHER_SENSE
+    at, weight = {f: i for i, f in enumerate(model.features)}, licence_scan.word_weights()
+    want = {}
+    for i, s in enumerate(texts):
+        words = licence_scan.tokens(s)
+        z = (model.bias + sum((model.weights[at[g]] for g in licence_scan.grams(words) if g in at), 0.0)) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        c = licence_scan.CLASSES[int(np.argmax(z))]
+        if c == "none" or p[0] > 0.1:
+            continue
+        share = max(sum(weight[w] for w in set(licence_scan.tokens(t)) & set(words)) / sum(weight[w] for w in set(licence_scan.tokens(t))) for t in licence_scan.STATEMENTS[c])
+        want[i] = (c if p.max() >= 0.5 and share >= 0.6 else "unknown", round(float(p.max()), 4))
+    found = licence_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: (r.family, round(r.probability, 4)) for r in found} == want
+
+
 def test_licence_scan_after_sampling_the_statements_words(spark):
     plain = ["The public was let in by the east door.", "This domain of science is old.", "He has all his rights.", "Seats are reserved for guests.", "A new version was released in May."]
     model = licence_scan.train(plain * 20 + ["ta lo mi"] * 50)
@@ -475,6 +507,53 @@ def test_site_quality(spark, docs, empty):
     assert site_quality.judge_sites(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_sparse_sites_stay_near_the_global_rate(spark):
+    rng = random.Random(14)
+    same = prose(rng, 100)
+    docs = spark.createDataFrame([(i, same, "en", f"s{i}", 0) for i in range(400)], SCHEMA)
+    labels = spark.createDataFrame([(i, rng.randrange(2)) for i in range(400)], "doc_id long, quality int")
+    rows = site_quality.judge_sites(docs, labels).collect()
+    assert all(abs(r.site_rate - 0.5) < 0.08 and abs(r.score - 0.5) < 0.12 for r in rows)
+    two = spark.createDataFrame([(i, same, "en", "good" if i < 200 else "bad", 0) for i in range(400)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(rng.random() < (0.9 if i < 200 else 0.1))) for i in range(400)] + [(0, 1)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in site_quality.judge_sites(two.withColumn("score", F.lit("clash")), labels).collect()}
+    assert all(r.site_rate > 0.8 and r.kept if i < 200 else r.site_rate < 0.2 and not r.kept for i, r in rows.items())
+
+
+def test_site_strength_recovers_the_prior():
+    rng = np.random.default_rng(3)
+    for true in (2.0, 20.0):
+        n = rng.integers(1, 60, 3000)
+        k = rng.binomial(n, rng.beta(0.4 * true, 0.6 * true, 3000))
+        total, mu = int(n.sum()), k.sum() / n.sum()
+        got = site_quality.strength(mu, float(k.sum()), k.sum() ** 2 / total, float((k**2 / n).sum()), total, 1, 3000, total - float((n**2).sum()) / total)
+        assert 0.8 * true < got < 1.25 * true
+
+
+def test_site_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("quality IS NOT NULL")
+    train, rest = known.where("doc_id % 2 = 0"), {r.doc_id: r.quality for r in known.where("doc_id % 2 = 1").collect()}
+    kept = {r.doc_id: r.kept for r in site_quality.judge_sites(docs, train).collect()}
+    assert sum(kept[i] == bool(q) for i, q in rest.items()) >= 0.9 * len(rest) > 90
+
+
+def test_language_id_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    slim = docs.select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("held"))
+    rows = language_id.identify(slim, language_id.learned_from(docs)).where("held AND lang IS NOT NULL AND length(text) > 100").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.97 * len(rows) > 100
+
+
+def test_language_id_of_ties_copies_and_long_texts(spark):
+    same = {"aa": b"lo mi ta re su ne " * 50, "bb": b"lo mi ta re su ne " * 50}
+    table = spark.createDataFrame([(1, "lo mi ta re"), (1, "lo mi ta re"), (2, "lo mi ta " * 100_000)], "doc_id long, text string")
+    rows = language_id.identify(table, same).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in rows} == {("aa", 0.0, True)} and len(rows) == 3
+    copies = spark.createDataFrame([(i, "krz pft wsz dzi cho", "bb") for i in range(3000)] + [(5000 + i, f"lo mi ta re su {i}", "aa") for i in range(50)], "doc_id long, text string, lang string")
+    assert set(language_id.learn(copies)) == {"aa", "bb"}
+
+
 def test_stages(spark, tmp_path, corpus):
     import corpus_pipeline
 
