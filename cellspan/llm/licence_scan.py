@@ -22,6 +22,7 @@ class in order. An empty table gives an empty result. Only the id and the result
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -203,11 +204,9 @@ def sample_paragraphs(docs: DataFrame, id_col: str, text_col: str, sample_docs:
     return [r[0] for r in rows.collect() if not confirmed_by(tokens(r[0]), 0.6)]
 
 
-def _literal_map(model: Model) -> Column:
-    pairs = []
-    for f, w in zip(model.features, model.weights, strict=True):
-        pairs += [F.lit(f), F.array(*[F.lit(float(v)) for v in w])]
-    return F.create_map(*pairs)
+def _constant(value: object, kind: str) -> Column:
+    """A literal of nested values; as one folded expression it keeps plans small."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def scan(
@@ -215,7 +214,7 @@ def scan(
 ) -> DataFrame:
     """id, paragraph (0-based line), family, probability and overlap of each licence paragraph."""
     plain = lambda c: F.replace(lower_ascii(c), F.lit("licenc"), F.lit("licens"))
-    cues = F.array(*[F.lit(c) for c in model.cues])
+    cues = _constant(model.cues, "array<string>")
     lines = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where(F.arrays_overlap(F.split(plain(F.col("t")), "[^a-z0-9]+"), cues))
@@ -227,25 +226,23 @@ def scan(
     feats = words.withColumn(
         "f", F.expr("array_distinct(concat(w, CASE WHEN size(w) > 1 THEN transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])) ELSE array() END))")
     )
-    zero = F.array(*[F.lit(0.0) for _ in CLASSES])
     start = F.array(*[F.lit(float(v)) for v in model.bias])
-    table = _literal_map(model)
-    known = feats.withColumn("k", F.array_intersect("f", F.array(*[F.lit(f) for f in model.features]))).drop("f")
-    z = F.aggregate("k", start, lambda acc, f: F.zip_with(acc, F.coalesce(F.try_element_at(table, f), zero), lambda a, b: a + b))
+    table = _constant(dict(zip(model.features, model.weights.tolist(), strict=True)), "map<string, array<double>>")
+    known = feats.withColumn("k", F.array_intersect("f", _constant(model.features, "array<string>"))).drop("f")
+    z = F.aggregate("k", start, lambda acc, f: F.zip_with(acc, F.try_element_at(table, f), lambda a, b: a + b))
     # a generator, so that no filter on the result is evaluated before it
     scored = known.withColumn("zs", F.array(z)).select("id", "paragraph", "w", F.explode("zs").alias("z")).withColumn("top", F.array_max("z")).withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp((v - F.col("top")) / F.lit(model.temperature)))
     scored = scored.where("best > 0").withColumns({"probability": 1 / total, "none": F.exp((F.col("z")[0] - F.col("top")) / F.lit(model.temperature)) / total})
     scored = scored.where(F.col("none") <= most_none)
-    overlap, weight = F.lit(0.0), word_weights()
-    for c, name in enumerate(CLASSES):
-        if name in STATEMENTS:
-            shares = []
-            for s in STATEMENTS[name]:
-                t = sorted(set(tokens(s)))
-                has = sum((F.when(F.array_contains("w", x), weight[x]).otherwise(0.0) for x in t), F.lit(0.0))
-                shares.append(has / F.lit(sum(weight[x] for x in t)))
-            overlap = F.when(F.col("best") == c, F.array_max(F.array(*shares))).otherwise(overlap)
+    weight = word_weights()
+    templates = []
+    for c, name in enumerate(CLASSES[1:], 1):
+        words = [sorted(set(tokens(t))) for t in STATEMENTS[name]]
+        templates += [{"c": c, "whole": sum(weight[x] for x in t), "words": t} for t in words]
+    book, weights = _constant(templates, "array<struct<c: int, whole: double, words: array<string>>>"), _constant(weight, "map<string, double>")
+    shared = lambda t: F.aggregate(F.array_intersect("w", t["words"]), F.lit(0.0), lambda a, x: a + F.try_element_at(weights, x)) / t["whole"]
+    overlap = F.array_max(F.transform(F.filter(book, lambda t: t["c"] == F.col("best")), shared))
     family = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("best") + 1)
     out = scored.withColumn("overlap", F.round(overlap, 6))
     sure = (F.col("probability") >= least_probability) & (F.col("overlap") >= least_overlap)
