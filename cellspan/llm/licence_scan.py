@@ -215,23 +215,16 @@ def scan(
     """id, paragraph (0-based line), family, probability and overlap of each licence paragraph."""
     plain = lambda c: F.replace(lower_ascii(c), F.lit("licenc"), F.lit("licens"))
     cues = _constant(model.cues, "array<string>")
-    lines = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        .where(F.arrays_overlap(F.split(plain(F.col("t")), "[^a-z0-9]+"), cues))
-        .select("id", F.expr("transform(split(t, '\\n'), (p, i) -> struct(i AS paragraph, p AS p))").alias("ps"))
-    )
-    gate = lambda s: F.arrays_overlap(F.split(plain(s["p"]), "[^a-z0-9]+"), cues)
-    found = lines.select("id", F.explode(F.filter("ps", gate)).alias("s")).select("id", "s.paragraph", plain(F.col("s.p")).alias("p"))
-    words = found.withColumn("w", F.array_remove(F.split("p", "[^a-z0-9]+"), "")).drop("p")
-    feats = words.withColumn(
-        "f", F.expr("array_distinct(concat(w, CASE WHEN size(w) > 1 THEN transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])) ELSE array() END))")
-    )
+    # generators keep what they make, so that no later expression evaluates it again
+    kept = lambda c, name: F.explode(F.array(c)).alias(name)
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(plain(F.col(text_col)), "\n")).alias("paragraph", "p"))
+    words = lines.select("id", "paragraph", kept(F.array_remove(F.split("p", "[^a-z0-9]+"), ""), "w")).where(F.arrays_overlap("w", cues))
+    pairs = F.expr("CASE WHEN size(w) > 1 THEN transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])) ELSE array() END")
+    known = words.select("id", "paragraph", "w", kept(F.array_intersect(F.concat("w", pairs), _constant(model.features, "array<string>")), "k")).where(F.size("k") > 0)
     start = F.array(*[F.lit(float(v)) for v in model.bias])
     table = _constant(dict(zip(model.features, model.weights.tolist(), strict=True)), "map<string, array<double>>")
-    known = feats.withColumn("k", F.array_intersect("f", _constant(model.features, "array<string>"))).drop("f")
     z = F.aggregate("k", start, lambda acc, f: F.zip_with(acc, F.try_element_at(table, f), lambda a, b: a + b))
-    # a generator, so that no filter on the result is evaluated before it
-    scored = known.withColumn("zs", F.array(z)).select("id", "paragraph", "w", F.explode("zs").alias("z")).withColumn("top", F.array_max("z")).withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int"))
+    scored = known.select("id", "paragraph", "w", kept(z, "z")).withColumn("top", F.array_max("z")).withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp((v - F.col("top")) / F.lit(model.temperature)))
     scored = scored.where("best > 0").withColumns({"probability": 1 / total, "none": F.exp((F.col("z")[0] - F.col("top")) / F.lit(model.temperature)) / total})
     scored = scored.where(F.col("none") <= most_none)
