@@ -17,7 +17,7 @@ from cellspan.operators import fragments as G
 from cellspan.operators import post as P
 from cellspan.operators import regions as R
 from cellspan.sources import text as S
-from cellspan.sources.bam import BamSource
+from cellspan.sources.bam import BamSource, bam_header
 
 ATAC = {"min_mapq": 0, "require": A.ATAC_REQUIRE, "exclude": A.ATAC_EXCLUDE}
 GEX = {"min_mapq": 0, "require": A.GEX_REQUIRE, "exclude": A.GEX_EXCLUDE}
@@ -31,6 +31,14 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return S.read_sam(spark, path)
 
 
+def read_header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """rec_id and line of the header of SAM or BAM alignments; of a folder of BAM files, the first one's."""
+    if path.endswith(".bam"):
+        lines = bam_header(path).splitlines()
+        return spark.createDataFrame(list(enumerate(lines)), "rec_id long, line string")
+    return S.read_sam_header(spark, path)
+
+
 def _pairs(spark: SparkSession, path: str, qc: dict, barcode: dict) -> DataFrame:
     return G.pairs(read_alignments(spark, path), **{**ATAC, **qc}, **{**NAME, **barcode})
 
@@ -133,7 +141,7 @@ def count_matrix(spark: SparkSession, alignments: str, barcodes: str, regions: s
 
 
 def tag_names(spark: SparkSession, alignments: str, out: str, tag: str = A.BARCODE_TAG, kind: str = "Z", suffix: str = "", delimiter: str = A.NAME_DELIMITER, field: int = A.NAME_FIELD) -> None:
-    header = None if alignments.endswith(".bam") else S.read_sam_header(spark, alignments)
+    header = read_header_lines(spark, alignments)
     S.write_sam(G.name_to_tag(read_alignments(spark, alignments), tag, kind, suffix, delimiter, field), header, out)
 
 
@@ -171,7 +179,7 @@ def tss_profile(spark: SparkSession, alignments: str, tss: str, out: str, barcod
 
 
 def filter_by_barcode(spark: SparkSession, alignments: str, barcodes: str, out: str, qc: dict = {}, barcode: dict = {}) -> None:  # noqa: B006
-    header = None if alignments.endswith(".bam") else S.read_sam_header(spark, alignments)
+    header = read_header_lines(spark, alignments)
     S.write_sam(G.filter_alignments(read_alignments(spark, alignments), S.read_list(spark, barcodes), **{**ATAC, **qc}, **{**NAME, **barcode}), header, out)
 
 
@@ -194,7 +202,7 @@ def match_barcodes(spark: SparkSession, rows: str, atac: str, gex: str, out: str
     table = G.translation(S.read_matched_list(spark, atac), S.read_matched_list(spark, gex), reverse)
     if rows.endswith((".sam", ".bam")):
         reads = read_alignments(spark, rows)
-        header = None if rows.endswith(".bam") else S.read_sam_header(spark, rows)
+        header = read_header_lines(spark, rows)
         S.write_sam(G.match_tag(reads, table, tag, suffix, rewrite_tag) if tag else G.match_field(reads, "qname", table, delimiter, field, suffix), header, out)
     else:
         lines = spark.read.text(rows).withColumn("place", F.monotonically_increasing_id())

@@ -147,13 +147,23 @@ def record(data: bytes, k: int, refs: list[tuple[str, int]]) -> tuple:
     return (name, flag, rname, pos + 1, mapq, cigar, rnext, pnext + 1, tlen, seq, text, _tags(data, at + l_seq, end))
 
 
+def files_of(path: str) -> list[str]:
+    path = path.removeprefix("file://")
+    return sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else [path]
+
+
+def bam_header(path: str) -> str:
+    """The header text of a BAM file, or of the first one in a folder."""
+    files = files_of(path)
+    return read_header(files[0])[0].rstrip("\0") if files else ""
+
+
 class BamReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split = path.removeprefix("file://"), split_bytes
 
     def partitions(self) -> list[Range]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else [self.path]
-        return [Range(f, a, min(a + self.split, size)) for f in files for size in (os.path.getsize(f),) for a in range(0, size, self.split)]
+        return [Range(f, a, min(a + self.split, size)) for f in files_of(self.path) for size in (os.path.getsize(f),) for a in range(0, size, self.split)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         _, refs, first, offset = read_header(partition.path)

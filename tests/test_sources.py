@@ -5,6 +5,7 @@ import struct
 import zlib
 
 from cellspan.sources import text as S
+from cellspan.plans.programs import match_barcodes
 from cellspan.sources.bam import BamSource, read_header
 
 SAM = "@HD\tVN:1.6\n@SQ\tSN:c\tLN:1000\n@SQ\tSN:d\tLN:500\nq1\t99\tc\t1\t60\t10M\t=\t91\t100\tACGTACGTAC\tIIIIIIIIII\tCB:Z:AA\tNM:i:0\nq2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n"
@@ -70,3 +71,7 @@ def test_bam_in_splits(spark, tmp_path):
         got = spark.read.format("bam").option("split_bytes", split).load(str(tmp_path / "a.bam")).orderBy("rec_id").collect()
         assert [(r.qname, r.pos, r.seq, r.tags[0][5:]) for r in got] == want
     assert (got[0].cigar, got[0].tags[1], got[0].qual[:2], got[0].rnext) == (f"{len(want[0][2])}M", "NM:i:3", "II", "=")
+    put = lambda n, t: (tmp_path / n).write_text(t) and str(tmp_path / n)
+    match_barcodes(spark, str(tmp_path / "a.bam"), put("at", "B17\n"), put("gx", "GG\n"), str(tmp_path / "out"), tag="CB")
+    rows = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert rows[0] == text.decode().strip() and [x.split("\t")[0] for x in rows[1:]] == ["read17"]
