@@ -1,7 +1,7 @@
 """Text formats: SAM, FASTQ, BED, GTF, lists, Matrix Market; readers give DataFrames, writers take them.
 
-Record numbers come from the byte place in the file (`_metadata`) and the line within Spark's split, so they follow
-file order and stay the same after any shuffle.
+Record numbers are Spark's increasing row numbers of one scan: they follow the order of the lines in a file and stay the
+same after any shuffle. Of several files, the order is that of Spark's splits.
 """
 
 from __future__ import annotations
