@@ -65,7 +65,7 @@ STAGES = [
     ("token_mix", mix),
 ]
 
-#: SQL can't express compression, MinHash or the knapsack; tests/llm compares each stage with a plain version of it.
+#: SQL can't express compression, MinHash or the knapsack; tests/llm compare the operators with plain versions of them, and run the stages.
 ORACLE_SQL = None
 
 
