@@ -49,6 +49,15 @@ def reverse_complement(c: Column) -> Column:
     return F.reverse(F.translate(F.regexp_replace(c, "[^ACGTacgt]", "N"), "ACGTacgt", "TGCAtgca"))
 
 
+def _plain(cigar: Column) -> Column:
+    """Whether a CIGAR is a single match, as most are; those need no walk."""
+    return cigar.rlike(r"^\d+M$")
+
+
+def _plain_length(cigar: Column) -> Column:
+    return F.substring(cigar, F.lit(1), F.length(cigar) - 1).cast("long")
+
+
 def cigar_ops(cigar: Column) -> Column:
     """array<struct<n, op>> of a CIGAR string."""
     pattern = F.lit(r"(\d+)([MIDNSHP=X])")
@@ -58,7 +67,8 @@ def cigar_ops(cigar: Column) -> Column:
 
 def reference_span(cigar: Column) -> Column:
     """Bases of the reference from first to last aligned base."""
-    return F.aggregate(cigar_ops(cigar), F.lit(0).cast("long"), lambda a, p: a + F.when(p["op"].isin("M", "D", "N", "=", "X"), p["n"]).otherwise(F.lit(0)))
+    walked = F.aggregate(cigar_ops(cigar), F.lit(0).cast("long"), lambda a, p: a + F.when(p["op"].isin("M", "D", "N", "=", "X"), p["n"]).otherwise(F.lit(0)))
+    return F.when(_plain(cigar), _plain_length(cigar)).otherwise(walked)
 
 
 def reference_end(pos: Column, cigar: Column) -> Column:
@@ -80,7 +90,9 @@ def aligned_blocks(pos: Column, cigar: Column) -> Column:
             F.when(covers, F.concat(acc["b"], F.array(block))).otherwise(acc["b"]).alias("b"),
         )
 
-    return F.aggregate(cigar_ops(cigar), start, step, lambda acc: acc["b"])
+    first = (pos - 1).cast("long")
+    whole = F.array(F.struct(first.alias("start"), (first + _plain_length(cigar)).alias("end"), F.lit("M").alias("op"), n0.alias("at")))
+    return F.when(_plain(cigar), whole).otherwise(F.aggregate(cigar_ops(cigar), start, step, lambda acc: acc["b"]))
 
 
 def ratio(a: Column, b: Column) -> Column:

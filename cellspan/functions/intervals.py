@@ -22,8 +22,9 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_width: int = BIN, how: s
     """Pairs of left and right rows whose intervals overlap by a base or more.
 
     Both sides have chrom, start and end; right columns come out as r_<name>. how is "inner" or "left_semi" (which
-    also makes repeated left rows one). levels: the widths of bins, in units of bin_width; give (1,) where no right
-    interval is longer than some bins. Empty intervals and negative starts overlap nothing.
+    also makes repeated left rows one). levels: the widths of bins, in units of bin_width. Left rows are laid only on the
+    levels that some right interval uses, found by a scalar subquery over the right side; give (1,) to spare it where no
+    right interval is longer than some bins. Empty intervals and negative starts overlap nothing.
     """
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where("r_start >= 0 AND r_start < r_end")
     left = left.where("start >= 0 AND start < end")
@@ -33,8 +34,12 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_width: int = BIN, how: s
         level = F.when(F.expr("r_end - r_start") <= 16 * widths[k], k).otherwise(level)
     r = right.withColumn("__r_level", level).withColumn("__w", F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("__r_level") + 1))
     r = r.withColumn("__r_bin", F.explode(F.expr("sequence(r_start div __w, (r_end - 1) div __w)"))).drop("__w")
-    spots = [f"transform(sequence(start div {w}, (end - 1) div {w}), b -> struct({k} AS level, {w}L AS width, b AS bin))" for k, w in enumerate(widths)]
-    l = left.withColumn("__x", F.explode(F.expr(f"concat({', '.join(spots)})")))
+    spots = [F.expr(f"transform(sequence(start div {w}, (end - 1) div {w}), b -> struct({k} AS level, {w}L AS width, b AS bin))") for k, w in enumerate(widths)]
+    if len(widths) > 1:
+        used = right.select(F.bit_or(F.call_function("shiftleft", F.lit(1), level)).alias("m")).scalar()
+        left = left.withColumn("__m", F.coalesce(used, F.lit(0)))
+        spots = [F.when(F.col("__m").bitwiseAND(F.lit(1 << k)) != 0, s).otherwise(F.slice(s, 1, 0)) for k, s in enumerate(spots)]
+    l = left.withColumn("__x", F.explode(F.concat(*spots))).drop("__m")
     on = (
         (F.col("chrom") == F.col("r_chrom")) & (F.col("__x.level") == F.col("__r_level")) & (F.col("__x.bin") == F.col("__r_bin"))
         & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
@@ -49,27 +54,36 @@ def overlap_length() -> Column:
     return F.least("end", "r_end") - F.greatest("start", "r_start")
 
 
-def coverage(intervals: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
-    """Maximal segments of constant depth above 0: chrom, *keys, start, end, depth."""
-    by = ["chrom", *keys]
-    cols = ", ".join(by)
+def _events(intervals: DataFrame, by: list[str], tile: int) -> DataFrame:
+    """*by, tile, pos, d: where intervals begin (1) and end (-1), cut at tile edges."""
     used = intervals.where("start >= 0 AND start < end")
     cut = used.select(*by, "start", "end", F.explode(F.expr(f"sequence(start div {tile}, (end - 1) div {tile})")).alias("tile"))
     cut = cut.select(*by, "tile", F.greatest("start", F.expr(f"tile * {tile}")).alias("s"), F.least("end", F.expr(f"(tile + 1) * {tile}")).alias("e"))
-    events = cut.select(*by, "tile", F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("x"))
-    steps = events.groupBy(*by, "tile", "x.pos").agg(F.sum("x.d").alias("d")).where("d <> 0")
-    runs = steps.selectExpr(
-        *by, "pos AS start", f"lead(pos) OVER (PARTITION BY {cols}, tile ORDER BY pos) AS end",
-        f"sum(d) OVER (PARTITION BY {cols}, tile ORDER BY pos) AS depth",
-    ).where("depth > 0")
-    edge = f"start % {tile} = 0 OR end % {tile} = 0"
-    at_edge = runs.where(edge).selectExpr(
-        *by, "start", "end", "depth",
-        f"CASE WHEN lag(end) OVER (PARTITION BY {cols} ORDER BY start) = start AND lag(depth) OVER (PARTITION BY {cols} ORDER BY start) = depth THEN 0 ELSE 1 END AS fresh",
-    )
-    islands = at_edge.withColumn("island", F.expr(f"sum(fresh) OVER (PARTITION BY {cols} ORDER BY start)"))
-    joined = islands.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("depth").alias("depth")).drop("island")
-    return runs.where(f"NOT ({edge})").unionByName(joined)
+    return cut.select(*by, "tile", F.explode(F.expr("array(struct(s AS pos, 1 AS d), struct(e AS pos, -1 AS d))")).alias("x")).select(*by, "tile", "x.pos", "x.d")
+
+
+def _across_tiles(runs: DataFrame, by: list[str], tile: int, value: str | None = None) -> DataFrame:
+    """Segments (*by, start, end, value) with those joined up that meet at a tile's edge and have the same value.
+
+    Only segments at an edge, two a tile at most, are in a window of their own keys.
+    """
+    cols = ", ".join(by)
+    edge = f"(start % {tile} = 0 OR end % {tile} = 0)"
+    w = f"PARTITION BY {cols} ORDER BY start"
+    same = f" AND lag({value}) OVER ({w}) = {value}" if value else ""
+    at_edge = runs.where(edge).withColumn("fresh", F.expr(f"CASE WHEN lag(end) OVER ({w}) = start{same} THEN 0 ELSE 1 END"))
+    islands = at_edge.withColumn("island", F.expr(f"sum(fresh) OVER ({w})")).groupBy(*by, "island")
+    joined = islands.agg(F.min("start").alias("start"), F.max("end").alias("end"), *([F.first(value).alias(value)] if value else [])).drop("island")
+    return runs.where(f"NOT {edge}").unionByName(joined)
+
+
+def coverage(intervals: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+    """Maximal segments of constant depth above 0: chrom, *keys, start, end, depth."""
+    by = ["chrom", *keys]
+    steps = _events(intervals, by, tile).groupBy(*by, "tile", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+    w = f"PARTITION BY {', '.join(by)}, tile ORDER BY pos"
+    runs = steps.selectExpr(*by, "pos AS start", f"lead(pos) OVER ({w}) AS end", f"sum(d) OVER ({w}) AS depth").where("depth > 0")
+    return _across_tiles(runs, by, tile, "depth")
 
 
 def joint_coverage(intervals: DataFrame, key: str, tile: int = TILE) -> DataFrame:
@@ -95,17 +109,24 @@ def joint_coverage(intervals: DataFrame, key: str, tile: int = TILE) -> DataFram
 
 def merged(intervals: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     """Union of intervals: chrom, *keys, start, end; intervals that touch are one."""
-    runs = coverage(intervals, keys, tile)
-    by = ", ".join(["chrom", *keys])
-    marked = runs.withColumn("fresh", F.expr(f"CASE WHEN lag(end) OVER (PARTITION BY {by} ORDER BY start) = start THEN 0 ELSE 1 END"))
-    marked = marked.withColumn("island", F.expr(f"sum(fresh) OVER (PARTITION BY {by} ORDER BY start)"))
-    return marked.groupBy("chrom", *keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    by = ["chrom", *keys]
+    steps = _events(intervals, by, tile).groupBy(*by, "tile", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+    w = f"PARTITION BY {', '.join(by)}, tile ORDER BY pos"
+    turns = steps.withColumn("depth", F.expr(f"sum(d) OVER ({w})")).where("depth = 0 OR depth = d")
+    runs = turns.selectExpr(*by, "pos AS start", f"lead(pos) OVER ({w}) AS end", "depth").where("depth > 0").drop("depth")
+    return _across_tiles(runs, by, tile)
 
 
 def first_class(intervals: DataFrame, precedence: list[str], tile: int = TILE) -> DataFrame:
-    """Disjoint intervals (chrom, start, end, class) that give each base the first of its classes in precedence."""
-    rank = F.array_position(F.array(*[F.lit(c) for c in precedence]), F.col("class")).cast("int")
-    each = coverage(intervals.withColumn("rank", rank).where("rank > 0"), ["rank"], tile)
-    flat = joint_coverage(each.select("chrom", "start", "end", "rank"), "rank", tile)
-    best = flat.groupBy("chrom", "start", "end").agg(F.min("rank").alias("rank"))
-    return best.select("chrom", "start", "end", F.element_at(F.array(*[F.lit(c) for c in precedence]), F.col("rank")).alias("class"))
+    """Disjoint intervals (chrom, start, end, class) that give each base the first of its classes in precedence.
+
+    One sweep with a depth for each class. Intervals are cut at tile edges, and where the class changes.
+    """
+    ranks = range(len(precedence))
+    known = intervals.where(F.col("class").isin(precedence)).select("chrom", "start", "end", "class")
+    steps = _events(known, ["chrom", "class"], tile).groupBy("chrom", "tile", "pos").agg(*[F.sum(F.when(F.col("class") == precedence[k], F.col("d")).otherwise(0)).alias(f"d{k}") for k in ranks])
+    w = "PARTITION BY chrom, tile ORDER BY pos"
+    depth = steps.selectExpr("chrom", "tile", "pos", *[f"sum(d{k}) OVER ({w}) AS d{k}" for k in ranks])
+    best = depth.select("chrom", "tile", "pos", F.coalesce(*[F.when(F.col(f"d{k}") > 0, F.lit(precedence[k])) for k in ranks], F.lit(None).cast("string")).alias("class"))
+    turns = best.withColumn("before", F.expr(f"lag(class) OVER ({w})")).where("NOT class <=> before")
+    return turns.selectExpr("chrom", "pos AS start", f"lead(pos) OVER ({w}) AS end", "class").where("class IS NOT NULL")

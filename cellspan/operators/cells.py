@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellspan.functions import alignment as A
-from cellspan.functions.intervals import first_class, merged, overlap_join, overlap_length
+from cellspan.functions.intervals import BIN, first_class, merged, overlap_join, overlap_length
 from cellspan.operators.fragments import only_listed
 
 GEX_CLASSES = ["chrM_protein_coding", "pc_cds", "pc_utr", "pc_intron", "lncRNA"]
@@ -73,7 +73,7 @@ def atac_features(pairs: DataFrame, classes: DataFrame, barcodes: DataFrame, lea
     used = only_listed(pairs, barcodes).where(F.col("length") >= least)
     used = used if most is None else used.where(F.col("length") <= most)
     flat = class_unions(classes)
-    hits = overlap_join(used.select("qname", "barcode", "chrom", "start", "end", "length"), flat)
+    hits = overlap_join(used.select("qname", "barcode", "chrom", "start", "end", "length"), flat, levels=(1,))  # unions of a class don't overlap: bins are bounded by the genome
     each = hits.groupBy("qname", "barcode", "length", F.col("r_class").alias("class")).agg(F.sum(overlap_length()).alias("b"))
     none = used.join(each.select("qname").distinct(), "qname", "left_anti").select("qname", "barcode", "length", F.lit("intergenic").alias("class"), F.col("length").alias("b"))
     return each.unionByName(none).groupBy("barcode", "class").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"), F.sum("b").alias("bases"))
@@ -91,11 +91,17 @@ def gex_features(reads: DataFrame, classes: DataFrame, barcodes: DataFrame, prec
     """
     used = only_listed(reads, barcodes).select("barcode", F.col("rname").alias("chrom"), F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
     blocks = used.select("barcode", "chrom", "b.start", "b.end")
-    hits = overlap_join(blocks, first_class(classes, precedence or GEX_CLASSES)).groupBy("barcode", F.col("r_class").alias("class")).agg(F.sum(overlap_length()).alias("bases"))
-    total = blocks.groupBy("barcode").agg(F.sum(F.col("end") - F.col("start")).alias("t"))
-    known = hits.groupBy("barcode").agg(F.sum("bases").alias("k"))
-    rest = total.join(known, "barcode", "left").select("barcode", F.lit("intergenic").alias("class"), (F.col("t") - F.coalesce("k", F.lit(0))).alias("bases"))
-    return hits.unionByName(rest.where("bases > 0"))
+    # classes don't overlap, so a bin of them is one row of BIN segments at most, and each piece of a read meets one row
+    cut = lambda df: df.withColumn("bin", F.explode(F.expr(f"sequence(start div {BIN}, (end - 1) div {BIN})"))).withColumns(
+        {"start": F.greatest("start", F.expr(f"bin * {BIN}")), "end": F.least("end", F.expr(f"(bin + 1) * {BIN}"))}
+    )
+    bins = cut(first_class(classes, precedence or GEX_CLASSES)).groupBy("chrom", "bin").agg(F.collect_list(F.struct("start", "end", "class")).alias("parts"))
+    met = cut(blocks.where("start >= 0 AND start < end")).join(bins, ["chrom", "bin"], "left")
+    known = "transform(filter(parts, p -> p.start < end AND start < p.end), p -> struct(p.class AS class, least(p.end, end) - greatest(p.start, start) AS bases))"
+    each = met.select("barcode", (F.col("end") - F.col("start")).alias("length"), F.coalesce(F.expr(known), F.expr("cast(array() AS array<struct<class: string, bases: bigint>>)")).alias("known"))
+    rest = "struct('intergenic' AS class, length - aggregate(known, 0L, (t, p) -> t + p.bases) AS bases)"
+    rows = each.select("barcode", F.explode(F.expr(f"array_append(known, {rest})")).alias("x")).select("barcode", "x.class", "x.bases")
+    return rows.groupBy("barcode", "class").agg(F.sum("bases").alias("bases")).where("bases > 0")
 
 
 def mismatches(alignments: DataFrame, min_mapq: int = 0, tag: str = A.BARCODE_TAG) -> tuple[DataFrame, DataFrame]:

@@ -86,6 +86,19 @@ def randhex_collapse(counts: DataFrame, primers: DataFrame, wells: DataFrame, sa
     return named.select("feature", F.concat_ws("_", pad("i1"), pad("i2"), pad("i3")).alias("cell"), "sample", "n")
 
 
+def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, n: rows for each pair of values that occurs."""
+    return rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+def coordinate_sorted(alignments: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Alignments by reference, place and record; references (chrom, ref_idx) give the order, else names do. Unplaced ones come last."""
+    if references is None:
+        return alignments.orderBy(F.expr("nullif(rname, '*')").asc_nulls_last(), "pos", "rec_id")
+    order = references.select(F.col("chrom").alias("rname"), F.col("ref_idx").alias("__ref"))
+    return alignments.join(order, "rname", "left").orderBy(F.col("__ref").asc_nulls_last(), "pos", "rec_id").select(*alignments.columns)
+
+
 def merge_sublibraries(parts: list[DataFrame], names: list[str]) -> DataFrame:
     """Long count tables of sub-libraries as one, with the library's name put before the cell's."""
     out = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellspan.functions import alignment as A
-from cellspan.functions.intervals import coverage, merged, overlap_join, overlap_length
+from cellspan.functions.intervals import BIN, LEVELS, coverage, joint_coverage, merged, overlap_join, overlap_length
 from cellspan.operators.fragments import of_length, only_listed, with_group
 
 
@@ -43,7 +43,7 @@ def any_overlap_counts(fragments: DataFrame, peaks: DataFrame, least_cells: int
 def in_region(pairs: DataFrame, regions: DataFrame, barcodes: DataFrame, flank: int = 0) -> DataFrame:
     """barcode, total, in_region for each listed barcode."""
     used = only_listed(pairs, barcodes)
-    hit = overlap_join(used, flanked(regions.select("chrom", "start", "end"), flank), how="left_semi")
+    hit = overlap_join(used, merged(flanked(regions.select("chrom", "start", "end"), flank), []), how="left_semi", levels=(1,))
     inside = hit.groupBy("barcode").agg(F.count(F.lit(1)).alias("i"))
     total = used.groupBy("barcode").agg(F.count(F.lit(1)).alias("t"))
     zero = F.lit(0).cast("long")
@@ -51,11 +51,17 @@ def in_region(pairs: DataFrame, regions: DataFrame, barcodes: DataFrame, flank:
     return listed.select("barcode", F.coalesce("t", zero).alias("total"), F.coalesce("i", zero).alias("in_region"))
 
 
-def base_coverage(alignments: DataFrame, barcodes: DataFrame | None, min_mapq: int = 0, require: int = A.ATAC_REQUIRE, exclude: int = A.ATAC_EXCLUDE, tag: str | None = None) -> DataFrame:
-    """Depth of aligned blocks by barcode, in maximal segments (see intervals.joint_coverage for segments cut jointly)."""
+def aligned(alignments: DataFrame, barcodes: DataFrame | None, min_mapq: int = 0, require: int = A.ATAC_REQUIRE, exclude: int = A.ATAC_EXCLUDE, tag: str | None = None) -> DataFrame:
+    """chrom, barcode, start, end of the aligned blocks of records that pass."""
     used = only_listed(alignments.where(A.passes_qc(min_mapq, require, exclude)).withColumn("barcode", A.barcode(tag)), barcodes)
     blocks = used.select("barcode", F.col("rname").alias("chrom"), F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
-    return coverage(blocks.select("chrom", "barcode", "b.start", "b.end"), ["barcode"])
+    return blocks.select("chrom", "barcode", "b.start", "b.end")
+
+
+def base_coverage(alignments: DataFrame, barcodes: DataFrame | None, joint: bool = False, **qc) -> DataFrame:
+    """Depth of aligned blocks by barcode, in maximal segments; joint: cut wherever any barcode's depth changes. qc: see aligned()."""
+    blocks = aligned(alignments, barcodes, **qc)
+    return joint_coverage(blocks, "barcode") if joint else coverage(blocks, ["barcode"])
 
 
 def fragment_coverage(pairs: DataFrame, barcodes: DataFrame | None) -> DataFrame:
@@ -65,11 +71,11 @@ def fragment_coverage(pairs: DataFrame, barcodes: DataFrame | None) -> DataFrame
 def pseudobulk_fragments(pairs: DataFrame, groups: DataFrame, regions: DataFrame, flank: int = 0, least: int = 0, most: int | None = 1024) -> DataFrame:
     """Fragments with a group, of a length in range, that touch a region; whole, not clipped."""
     used = of_length(with_group(pairs, groups), least, most)
-    return overlap_join(used, flanked(regions.select("chrom", "start", "end"), flank), how="left_semi")
+    return overlap_join(used, merged(flanked(regions.select("chrom", "start", "end"), flank), []), how="left_semi", levels=(1,))
 
 
-def pseudobulk_coverage(touching: DataFrame) -> DataFrame:
-    return coverage(touching, ["group"])
+def pseudobulk_coverage(touching: DataFrame, joint: bool = False) -> DataFrame:
+    return joint_coverage(touching, "group") if joint else coverage(touching, ["group"])
 
 
 def pseudobulk_counts(touching: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def tss_counts(pairs: DataFrame, tss: DataFrame, samples: DataFrame, flank: int
         raise ValueError("the flank must be 50 or more")
     s = flank
     around = tss.select("chrom", F.greatest(F.lit(0).cast("long"), F.col("start") - s).alias("start"), (F.col("end") + s + 1).alias("end"), F.col("start").alias("tss"), "name", "strand")
-    hits = overlap_join(of_length(pairs, least, most), around)
+    hits = overlap_join(of_length(pairs, least, most), around, levels=(1,) if 2 * s < 16 * BIN else LEVELS)
     lo = F.expr(f"CASE WHEN r_strand = '-' THEN greatest(0, {s} - (end - 1) + r_tss) ELSE greatest(0, start - r_tss + {s}) END")
     hi = F.expr(f"CASE WHEN r_strand = '-' THEN least({2 * s}, {s} - start + r_tss) ELSE least({2 * s}, end - 1 - r_tss + {s}) END")
     ranges = hits.select("barcode", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where("lo <= hi")
@@ -152,7 +158,7 @@ def metagene_normalization(pairs: DataFrame, groups: DataFrame, blocks: DataFram
         F.count(F.lit(1)).alias("all_fragments"), F.sum("length").alias("all_bases"),
         F.count_if(fits).alias("length_fragments"), F.sum(F.when(fits, F.col("length")).otherwise(0)).alias("length_bases"),
     )
-    hits = overlap_join(own.where(fits), merged(blocks, [])).groupBy("group", "qname").agg(F.sum(overlap_length()).alias("b"))
+    hits = overlap_join(own.where(fits), merged(blocks, []), levels=(1,)).groupBy("group", "qname").agg(F.sum(overlap_length()).alias("b"))
     inside = hits.groupBy("group").agg(F.count(F.lit(1)).alias("f"), F.sum("b").alias("b"))
     zero = F.lit(0).cast("long")
     return sums.join(inside, "group", "left").select(*sums.columns, F.coalesce("f", zero).alias("region_fragments"), F.coalesce("b", zero).alias("region_bases"))

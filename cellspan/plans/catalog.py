@@ -211,6 +211,16 @@ def base_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return R.base_coverage(X.alignments(spark, sf), X.barcodes(spark, sf), min_mapq=30)
 
 
+_JOINT = """, own AS (SELECT * FROM runs WHERE depth > 0), cuts AS (SELECT DISTINCT chrom, start AS pos FROM own UNION SELECT chrom, "end" FROM own),
+  parts AS (SELECT chrom, pos AS a, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS b FROM cuts)
+  SELECT parts.chrom, a AS start, b AS "end", {key}, depth FROM parts JOIN own ON own.chrom = parts.chrom AND own.start <= a AND b <= own."end" """
+
+
+@query("base_coverage_joint", BASE + sweep(_BLOCKS, "chrom, barcode") + _JOINT.format(key="barcode"))
+def base_coverage_joint(spark: SparkSession, sf: str) -> DataFrame:
+    return R.base_coverage(X.alignments(spark, sf), X.barcodes(spark, sf), joint=True, min_mapq=30)
+
+
 _FC = BASE + sweep("SELECT chrom, barcode, fs AS s, fe AS e FROM f", "chrom, barcode")
 
 
@@ -219,9 +229,7 @@ def fragment_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return R.fragment_coverage(X.pairs(spark, sf), X.barcodes(spark, sf))
 
 
-@query("fragment_coverage_joint", _FC + """, own AS (SELECT * FROM runs WHERE depth > 0), cuts AS (SELECT DISTINCT chrom, start AS pos FROM own UNION SELECT chrom, "end" FROM own),
-  parts AS (SELECT chrom, pos AS a, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS b FROM cuts)
-  SELECT parts.chrom, a AS start, b AS "end", barcode, depth FROM parts JOIN own ON own.chrom = parts.chrom AND own.start <= a AND b <= own."end" """)
+@query("fragment_coverage_joint", _FC + _JOINT.format(key="barcode"))
 def fragment_coverage_joint(spark: SparkSession, sf: str) -> DataFrame:
     return joint_coverage(G.only_listed(X.pairs(spark, sf), X.barcodes(spark, sf)), "barcode")
 
@@ -234,6 +242,11 @@ def pseudobulk_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return R.pseudobulk_coverage(_touching(spark, sf))
 
 
+@query("pseudobulk_coverage_joint", _PB + sweep("SELECT chrom, grp, fs AS s, fe AS e FROM pb", "chrom, grp") + _JOINT.format(key='grp AS "group"'))
+def pseudobulk_coverage_joint(spark: SparkSession, sf: str) -> DataFrame:
+    return R.pseudobulk_coverage(_touching(spark, sf), joint=True)
+
+
 def _touching(spark: SparkSession, sf: str) -> DataFrame:
     return R.pseudobulk_fragments(X.pairs(spark, sf), X.groups(spark, sf), X.regions(spark, sf), most=300)
 
@@ -342,13 +355,28 @@ def genebody_percent(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES = "(['pc_cds', 'pc_utr', 'pc_intron', 'lncRNA'])[cls + 1]"
 
 
-@query("atac_features", BASE + f""", hit AS (SELECT qname, barcode, len, {_NAMES} AS class, sum(least(fe, re) - greatest(fs, rs)) AS b FROM f JOIN reg ON f.chrom = reg.chrom AND fs < re AND rs < fe GROUP BY ALL),
-  every AS (SELECT * FROM hit UNION ALL SELECT qname, barcode, len, 'intergenic', len FROM f WHERE qname NOT IN (SELECT qname FROM hit))
-  SELECT barcode, class, count(*) AS n, avg(len) AS mean_length, sum(b)::BIGINT AS bases FROM every GROUP BY ALL""")
+_ATAC = BASE + f""", hit AS (SELECT qname, barcode, len, {_NAMES} AS class, sum(least(fe, re) - greatest(fs, rs)) AS b FROM f JOIN reg ON f.chrom = reg.chrom AND fs < re AND rs < fe GROUP BY ALL),
+  every AS (SELECT * FROM hit UNION ALL SELECT qname, barcode, len, 'intergenic', len FROM f WHERE qname NOT IN (SELECT qname FROM hit))"""
+
+
+@query("atac_features", _ATAC + "  SELECT barcode, class, count(*) AS n, avg(len) AS mean_length, sum(b)::BIGINT AS bases FROM every GROUP BY ALL")
 def atac_features(spark: SparkSession, sf: str) -> DataFrame:
     return C.atac_features(X.pairs(spark, sf), X.regions(spark, sf), X.barcodes(spark, sf))
 
 
+@query("atac_percent", _ATAC + ", ac AS (SELECT barcode, class, count(*) AS n FROM every GROUP BY ALL) SELECT barcode, class, n, 100 * n::DOUBLE / nullif(total, 0)::DOUBLE AS percent FROM ac JOIN (SELECT barcode, count(*) AS total FROM f GROUP BY barcode) USING (barcode)")
+def atac_percent(spark: SparkSession, sf: str) -> DataFrame:
+    total = G.only_listed(X.pairs(spark, sf), X.barcodes(spark, sf)).groupBy("barcode").agg(F.count(F.lit(1)).alias("total"))
+    return P.row_percent(atac_features(spark, sf).join(total, "barcode"), "n", "total").select("barcode", "class", "n", "percent")
+
+
+@query("atac_length_by_cluster", _ATAC + """, ml AS (SELECT barcode, class AS name, avg(len) AS value FROM every GROUP BY ALL)
+  SELECT name, cluster, min(value) AS low, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS high, count(*) AS n FROM ml JOIN bc USING (barcode) GROUP BY name, cluster""")
+def atac_length_by_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    long = atac_features(spark, sf).select("barcode", F.col("class").alias("name"), F.col("mean_length").alias("value"))
+    return P.cluster_quartiles(long, X.clusters(spark, sf))
+
+
 _GEX = BASE + f""", cl AS (SELECT chrom, base, min(cls) AS cls FROM (SELECT chrom, cls, unnest(range(rs, re)) AS base FROM reg) GROUP BY ALL),
   bl AS (SELECT barcode, chrom, unnest(range(s, e)) AS base FROM ({_BLOCKS.replace("x = 0", "x & 260 = 0")})),
   gx AS (SELECT barcode, coalesce({_NAMES}, 'intergenic') AS class, count(*) AS bases FROM bl LEFT JOIN cl USING (chrom, base) GROUP BY ALL)"""
@@ -359,6 +387,15 @@ def gex_features(spark: SparkSession, sf: str) -> DataFrame:
     return C.gex_features(_reads(spark, sf, None), X.regions(spark, sf), X.barcodes(spark, sf))
 
 
+_UMI = _GEX.replace("  bl AS (", """  du AS (SELECT *, row_number() OVER (PARTITION BY barcode, ok % 97 ORDER BY rec_id) AS r FROM al WHERE mapq >= 30 AND x & 260 = 0),
+  bl AS (""").replace("FROM al WHERE mapq >= 30 AND x & 260 = 0\n", "FROM du WHERE r = 1\n").replace("FROM al WHERE mapq >= 30 AND x & 260 = 0 AND ln", "FROM du WHERE r = 1 AND ln")
+
+
+@query("gex_features_umi", _UMI + " SELECT * FROM gx")
+def gex_features_umi(spark: SparkSession, sf: str) -> DataFrame:
+    return C.gex_features(_reads(spark, sf, "UB"), X.regions(spark, sf), X.barcodes(spark, sf))
+
+
 @query("feature_percent", _GEX + " SELECT barcode, class, bases, 100 * bases::DOUBLE / (sum(bases) OVER (PARTITION BY barcode))::DOUBLE AS percent FROM gx")
 def feature_percent(spark: SparkSession, sf: str) -> DataFrame:
     return P.row_percent(gex_features(spark, sf), "bases")
@@ -381,6 +418,13 @@ def mismatch_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return C.mismatch_jaccard(C.mismatch_sites(*X.mismatch_counts(spark, sf)), width=50)
 
 
+@query("mismatch_extraction", BASE + """ SELECT barcode, chrom, pos - 1 + CASE WHEN rec_id % 4 < 2 THEN 20 ELSE 10 END AS site, CASE WHEN rec_id % 4 < 2 THEN 'A' ELSE 'G' END AS base, count(*) AS n
+  FROM al WHERE mapq >= 30 AND x & 4 = 0 GROUP BY ALL""")
+def mismatch_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    hit, _ = C.mismatches(X.substituted(spark, sf), min_mapq=30)
+    return hit.groupBy("barcode", "chrom", "site", "base").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("merge_intervals", BASE + """, m AS (SELECT chrom, rs, re, max(re) OVER (PARTITION BY chrom ORDER BY rs, re ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM reg),
   g AS (SELECT chrom, rs, re, sum(CASE WHEN before >= rs THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY rs, re) AS i FROM m)
   SELECT chrom, min(rs) AS start, max(re) AS "end" FROM g GROUP BY chrom, i""")
@@ -442,6 +486,17 @@ def randhex_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return P.randhex_collapse(counts, primers, two.unionByName(three), samples)
 
 
+@query("sample_contingency", "SELECT 'W' || (l_suppkey % 8 % 4) AS well, 's' || (l_suppkey % 4 % 2) AS sample, count(*) AS n FROM lineitem GROUP BY ALL")
+def sample_contingency(spark: SparkSession, sf: str) -> DataFrame:
+    cells = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("concat('W', l_suppkey % 8 % 4) AS well", "concat('s', l_suppkey % 4 % 2) AS sample")
+    return P.contingency(cells, "well", "sample")
+
+
+@query("coordinate_sort", BASE + " SELECT qname, flag, chrom AS rname, pos::INT AS pos FROM al ORDER BY chrom, pos, rec_id")
+def coordinate_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return P.coordinate_sorted(X.alignments(spark, sf)).select("qname", "flag", "rname", "pos")
+
+
 @query("stream_event_counts", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema

@@ -32,6 +32,18 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments as reads with one substitution: by an X operation, or by the MD tag."""
+    x = "rec_id % 4 < 2"
+    return alignments(spark, sf_dir).withColumns(
+        {
+            "cigar": F.expr(f"if({x}, '20=1X29=', '50M')"),
+            "seq": F.expr("substring(repeat('ACGT', 13), 1, 50)"),
+            "tags": F.expr(f"if({x}, tags, array_append(tags, 'MD:Z:10A39'))"),
+        }
+    )
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return make_pairs(alignments(spark, sf_dir), min_mapq=30)
 
