@@ -52,16 +52,31 @@ def write_sam(alignments: DataFrame, header: DataFrame | None, path: str) -> Non
     lines.orderBy("k", "rec_id").select("line").write.mode("overwrite").text(path)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, n, line) with the line's number in its file, and (file, lines), each split being numbered by itself.
+
+    A line's number is its place in its split plus the lines of the splits before it. Lines and counts come from two
+    scans; a split is named by its place and length, so if the scans were ever split differently, the query fails.
+    """
+    split = ["file", "at", "size"]
+    raw = spark.read.text(path).selectExpr("_metadata.file_path AS file", "_metadata.file_block_start AS at", "_metadata.file_block_length AS size", "value AS line")
+    counts = raw.groupBy(*split).agg(F.count(F.lit(1)).alias("c"))
+    before = counts.select(*split, F.expr("sum(c) OVER (PARTITION BY file ORDER BY at) - c").alias("before"))
+    placed = raw.withColumn("m", F.monotonically_increasing_id()).withColumn("i", F.expr(f"row_number() OVER (PARTITION BY {', '.join(split)} ORDER BY m) - 1"))
+    known = F.when(F.col("before").isNull(), F.raise_error(F.lit("the scans of a file were split differently; run again")).cast("long")).otherwise(F.col("before"))
+    return placed.join(before, split, "left").select("file", (known + F.col("i")).alias("n"), "line"), counts.groupBy("file").agg(F.sum("c").alias("lines"))
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """rec_id, name, seq, qual; compressed files too. Each file is one record stream of four lines."""
-    whole = spark.read.text(path, wholetext=False, lineSep="\n@").select("value", F.monotonically_increasing_id().alias("place"))
-    # a quality line may begin with "@": such a piece has no sequence of its own and is put back on the one before
-    parts = whole.withColumn("text", F.regexp_replace("value", "^@", "")).withColumn("f", F.split("text", "\n"))
-    ok = F.expr("size(f) >= 4 AND length(f[1]) = length(f[3])")
-    glued = parts.withColumn("tail", F.expr("lead(value) OVER (ORDER BY place)")).where(ok | F.expr("size(f) = 4 OR (size(f) = 3 AND f[2] LIKE '+%')"))
-    full = F.when(ok, F.col("f")).otherwise(F.split(F.concat("text", F.lit("\n@"), "tail"), "\n"))
-    cols = glued.withColumn("g", full).select("place", F.concat(F.lit("@"), F.get("g", F.lit(0))).alias("name"), F.get("g", F.lit(1)).alias("seq"), F.get("g", F.lit(3)).alias("qual"))
-    return cols.select(F.expr("row_number() OVER (ORDER BY place) - 1").cast("long").alias("rec_id"), "name", "seq", "qual")
+    """rec_id, name, seq, qual of records of four lines; compressed files too. Files follow each other by path.
+
+    A last record without its quality line is dropped.
+    """
+    lines, files = _numbered_lines(spark, path)
+    earlier = files.select("file", F.expr("coalesce(sum(lines div 4) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("earlier"))
+    part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("line")))
+    records = lines.groupBy("file", F.expr("n div 4").alias("r")).agg(part(0).alias("name"), part(1).alias("seq"), part(3).alias("qual")).where("qual IS NOT NULL")
+    return records.join(earlier, "file").select((F.col("earlier") + F.col("r")).alias("rec_id"), "name", "seq", "qual")
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
@@ -82,6 +97,12 @@ def write_fragments(fragments: DataFrame, path: str) -> None:
     fragments.select("chrom", "start", "end", "barcode", "count").write.mode("overwrite").csv(path, sep="\t")
 
 
+def write_fragment_table(fragments: DataFrame, path: str) -> None:
+    """Fragments as Parquet by chromosome, sorted within files, so that a region's reader prunes by folder and statistics."""
+    ranged = fragments.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "end", "barcode")
+    ranged.write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
 def gtf_attribute(name: str) -> Column:
     return F.nullif(F.regexp_extract("attributes", rf'(?:^|; *){name} "([^"]*)"', 1), F.lit(""))
 

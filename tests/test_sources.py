@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import gzip
 import random
 import struct
 import zlib
 
+from pyspark.sql import functions as F
+
+from cellspan.functions.session import observed
 from cellspan.sources import text as S
 from cellspan.plans.programs import match_barcodes
 from cellspan.sources.bam import BamSource, read_header
@@ -75,3 +79,30 @@ def test_bam_in_splits(spark, tmp_path):
     match_barcodes(spark, str(tmp_path / "a.bam"), put("at", "B17\n"), put("gx", "GG\n"), str(tmp_path / "out"), tag="CB")
     rows = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
     assert rows[0] == text.decode().strip() and [x.split("\t")[0] for x in rows[1:]] == ["read17"]
+
+
+def test_fastq_of_many_splits(spark, tmp_path):
+    want = []
+    for n, name in enumerate(("a.fq", "b.fq.gz")):
+        reads = [(f"@r{n}_{i} x", "ACGT" * (i % 5 + 1), "@+I@" * (i % 5 + 1)) for i in range(60)]
+        text = "".join(f"{a}\n{b}\n+\n{c}\n" for a, b, c in reads) + ("@cut\nAC\n" if n else "")
+        (tmp_path / name).write_bytes(gzip.compress(text.encode()) if n else text.encode())
+        want += reads
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = [tuple(r) for r in S.read_fastq(spark, str(tmp_path)).orderBy("rec_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, *r) for i, r in enumerate(want)]
+
+
+def test_fragment_table_and_counts(spark, tmp_path):
+    rows = [("c2", 5, 9, "A", 1), ("c1", 7, 9, "B", 2), ("c1", 2, 4, "A", 1)]
+    df, seen = observed(spark.createDataFrame(rows, "chrom string, start long, end long, barcode string, count long"), "fragments", twice=F.col("count") > 1)
+    S.write_fragments(df, str(tmp_path / "f"))
+    S.write_fragment_table(df, str(tmp_path / "t"))
+    assert (seen.get["rows"], seen.get["twice"]) == (3, 1)
+    back = spark.read.parquet(str(tmp_path / "t")).select("chrom", "start", "end", "barcode", "count")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"chrom=c1", "chrom=c2"}
