@@ -36,6 +36,7 @@ from cellspan.llm.linking import LOW, PACKED, SKETCH_WORDS, Packer, Whole, bucke
 
 SHINGLE = 5
 SHORT = 64
+BLOCK = 1 << 15
 _MULT = (mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -149,14 +150,32 @@ def some_permutations(h: np.ndarray, counts: np.ndarray, bands: int, rows: int)
 
 
 def many_permutations(h: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Lines x (rows * bands) signatures with a hash function for each place."""
+    """Lines x (rows * bands) signatures with a hash function for each place.
+
+    Lines of like length are laid side by side, shingles downwards and the last one repeated (which leaves the minimum
+    as it is), in blocks that stay in a core's cache.
+    """
     places, first = bands * rows, np.cumsum(counts) - counts
     mult = (mix(np.arange(1, places + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
     out = np.empty((len(counts), places), np.uint32)
-    for k in range(places):
-        v = h * mult[k]
-        v ^= v >> np.uint32(15)
-        out[:, k] = np.minimum.reduceat(v * mult[-1 - k], first)
+    order = np.argsort(counts, kind="stable")
+    a = 0
+    while a < len(order):
+        b = min(len(order), a + max(1, BLOCK // int(counts[order[a]])))
+        while b - a > 1 and (b - a) * int(counts[order[b - 1]]) > 2 * BLOCK:
+            b = (a + b + 1) // 2
+        use = order[a:b]
+        down = np.minimum(np.arange(counts[use[-1]])[:, None], counts[use] - 1)
+        block = h[first[use] + down]
+        v, t, sig = np.empty_like(block), np.empty_like(block), np.empty((places, b - a), np.uint32)
+        for k in range(places):
+            np.multiply(block, mult[k], out=v)
+            np.right_shift(v, np.uint32(15), out=t)
+            np.bitwise_xor(v, t, out=v)
+            np.multiply(v, mult[-1 - k], out=v)
+            np.minimum.reduce(v, axis=0, out=sig[k])
+        out[use] = sig.T
+        a = b
     return out
 
 
