@@ -11,9 +11,10 @@ distinct shingles or more get one-permutation signatures, one permutation for ea
 are far fewer than shingles; bins that stay empty take the next full one's value. Lines of fewer than SHORT / 0.8 get one
 hash function for each place. Those between get both, so similar lines always have signatures of one kind in common.
 
-Lines are named by 64-bit hashes. Band keys travel packed and are dropped by map tasks that have sent the same line
-before; texts of lines travel only for lines that share a band. Documents are joined twice, to fetch those lines and
-to drop lines, by hashing the small side.
+Lines are named by 64-bit hashes. One pass over the texts makes hashes and band keys. Band keys travel packed and are
+dropped by map tasks that have sent the same line before; texts of lines travel only for lines that share a band. Bands
+that two lines share are pairs, each tried once; only larger ones are kept as buckets. Documents are joined twice, to
+fetch those lines and to drop lines, by hashing the small side.
 
 Cases: lines without a word stay and are not compared. Null text stays null, with no lines. Null ids come last in the
 order. Repeated rows are documents of their own, so the later one loses its lines. Lines under 5 characters only equal
@@ -32,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspan.llm.common import _LOWER, cut, discard, documents, filed, free_name, mix, numbered, pieces, powers, released, text_bytes, words_of
-from cellspan.llm.linking import LOW, PACKED, SKETCH_WORDS, Packer, Whole, buckets_of, n_parts, resolve
+from cellspan.llm.linking import LOW, PACKED, SKETCH_WORDS, Packer, Whole, by_part, dealt, n_parts, resolve, shared
 
 SHINGLE = 5
 SHORT = 64
+MANY = SHORT * 5 // 4  # a line similar to one of fewer than SHORT has fewer
 BLOCK = 1 << 15
 _MULT = (mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -82,11 +84,8 @@ class Lines:
         return out, gap[last] + 1
 
 
-def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the character shingles of lines that end in line feeds, and the number of each line's shingles.
-
-    A line of fewer characters is one shingle.
-    """
+def code_points(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of lines that end in line feeds, lines under SHINGLE characters filled up to it, and the number of each line's shingles."""
     points = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     brk = np.flatnonzero(points == 10)
     size = np.diff(brk, prepend=-1) - 1
@@ -94,8 +93,30 @@ def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         short = size < SHINGLE
         begin = brk - size
         points = np.insert(points, np.repeat(begin[short], SHINGLE - size[short]), np.repeat(size[short], SHINGLE - size[short]).astype(np.uint32) + np.uint32(0x110000))
-        brk = np.flatnonzero(points == 10)
-        size = np.diff(brk, prepend=-1) - 1
+        size = np.maximum(size, SHINGLE)
+    return points, size - SHINGLE + 1
+
+
+def exact_shingles(text: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """Like shingles(), with a number for each different shingle instead of a hash; None for those of texts of over 4,096 different characters."""
+    points, counts = code_points(text)
+    kinds, rank = np.unique(points, return_inverse=True)
+    if len(kinds) > 1 << 12:
+        return None, counts
+    m = max(0, len(points) - SHINGLE + 1)
+    code, whole, no_brk = np.zeros(m, np.uint64), np.ones(m, bool), points != 10
+    for d in range(SHINGLE):
+        code |= rank[d : d + m].astype(np.uint64) << np.uint64(12 * d)
+        whole &= no_brk[d : d + m]
+    return np.unique(code[whole], return_inverse=True)[1].astype(np.uint32), counts
+
+
+def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the character shingles of lines that end in line feeds, and the number of each line's shingles.
+
+    A line of fewer characters is one shingle.
+    """
+    points, counts = code_points(text)
     m = max(0, len(points) - SHINGLE + 1)
     h = np.zeros(m, np.uint32)
     whole = np.ones(m, bool)
@@ -109,7 +130,7 @@ def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x846CA68B)
     h ^= h >> np.uint32(16)
-    return h, size - SHINGLE + 1
+    return h, counts
 
 
 def sets(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -119,34 +140,50 @@ def sets(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return both[np.append(True, both[1:] != both[:-1])[: len(both)]]
 
 
+def overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For lines x and y (shingles and their numbers) side by side: distinct shingles in common, and those of x and of y."""
+    n = len(x[1])
+    own = lambda h, counts, side: np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(33), counts) | h.astype(np.uint64) << np.uint64(1) | np.uint64(side)
+    v = np.concatenate([own(*x, 0), own(*y, 1)])
+    v.sort()
+    v = v[np.append(True, v[1:] != v[:-1])[: len(v)]]
+    edge = np.searchsorted(v, np.arange(n + 1, dtype=np.uint64) << np.uint64(33))
+    met = np.append(0, np.cumsum((v[1:] ^ v[:-1]) == np.uint64(1)))  # the same line and shingle, of x and then of y
+    last = np.maximum(edge - 1, 0)
+    return met[last[1:]] - met[last[:-1]], np.diff(edge)
+
+
 def distinct(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The number of distinct shingles of each line."""
     return np.bincount((sets(h, counts) >> np.uint64(32)).astype(np.int64), minlength=len(counts))
 
 
-def one_permutation(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
-    """Lines x bins one-permutation signatures, empty bins filled from the next full one."""
-    n = len(counts)
+def one_permutation(h: np.ndarray, base: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """Lines x bins one-permutation signatures, empty bins filled from the next full one; base is each shingle's line * bins."""
     sig = np.full(n * bins, _EMPTY)
-    place = ((h.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(sig, np.repeat(np.arange(0, n * bins, bins), counts) + place, h)
+    place = h >> np.uint32(16)
+    place *= np.uint32(bins)
+    place >>= np.uint32(16)
+    np.minimum.at(sig, base + place, h)
     sig = sig.reshape(n, bins)
-    at = np.where(np.concatenate([sig, sig], axis=1) != _EMPTY, np.arange(2 * bins, dtype=np.int16), np.int16(4 * bins))
-    nxt = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    return np.take_along_axis(sig, nxt.astype(np.int64) % bins, axis=1) + (nxt - np.arange(bins)).astype(np.uint32) * np.uint32(0x9E3779B1)
+    gaps = np.flatnonzero((sig == _EMPTY).any(axis=1))
+    if len(gaps):
+        some = sig[gaps]
+        at = np.where(np.concatenate([some, some], axis=1) != _EMPTY, np.arange(2 * bins, dtype=np.int16), np.int16(4 * bins))
+        nxt = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        sig[gaps] = np.take_along_axis(some, nxt.astype(np.int64) % bins, axis=1) + (nxt - np.arange(bins)).astype(np.uint32) * np.uint32(0x9E3779B1)
+    return sig
+
+
+def multipliers(n: int) -> np.ndarray:
+    """Odd numbers; shingles are mixed already, so each of them times h is a permutation of its own."""
+    return (mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 
 
 def some_permutations(h: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Lines x (rows * bands) signatures: for each row a permutation of its own, with a bin for each band."""
-    mult = (mix(np.arange(1, 2 * rows + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-    out = []
-    for k in range(rows):
-        v = h * mult[k]
-        v ^= v >> np.uint32(15)
-        v *= mult[-1 - k]
-        v ^= v >> np.uint32(16)
-        out.append(one_permutation(v, counts, bands))
-    return np.concatenate(out, axis=1)
+    base = np.repeat(np.arange(0, len(counts) * bands, bands), counts)
+    return np.concatenate([one_permutation(h * m, base, len(counts), bands) for m in multipliers(rows)], axis=1)
 
 
 def many_permutations(h: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -156,7 +193,7 @@ def many_permutations(h: np.ndarray, counts: np.ndarray, bands: int, rows: int)
     as it is), in blocks that stay in a core's cache.
     """
     places, first = bands * rows, np.cumsum(counts) - counts
-    mult = (mix(np.arange(1, places + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    mult = multipliers(places)
     out = np.empty((len(counts), places), np.uint32)
     order = np.argsort(counts, kind="stable")
     a = 0
@@ -167,12 +204,9 @@ def many_permutations(h: np.ndarray, counts: np.ndarray, bands: int, rows: int)
         use = order[a:b]
         down = np.minimum(np.arange(counts[use[-1]])[:, None], counts[use] - 1)
         block = h[first[use] + down]
-        v, t, sig = np.empty_like(block), np.empty_like(block), np.empty((places, b - a), np.uint32)
+        v, sig = np.empty_like(block), np.empty((places, b - a), np.uint32)
         for k in range(places):
             np.multiply(block, mult[k], out=v)
-            np.right_shift(v, np.uint32(15), out=t)
-            np.bitwise_xor(v, t, out=v)
-            np.multiply(v, mult[-1 - k], out=v)
             np.minimum.reduce(v, axis=0, out=sig[k])
         out[use] = sig.T
         a = b
@@ -187,45 +221,59 @@ def keys_of(sig: np.ndarray, bands: int, kind: int) -> np.ndarray:
     return v
 
 
+def surely(h: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """Which lines have least different shingles or more among their first 2 * least; others may have them too."""
+    out, first = np.zeros(len(counts), bool), np.cumsum(counts) - counts
+    use = np.flatnonzero(counts >= 2 * least)
+    some = np.sort(h[first[use][:, None] + np.arange(2 * least)], axis=1)
+    out[use] = np.count_nonzero(some[:, 1:] != some[:, :-1], axis=1) + 1 >= least
+    return out
+
+
 def band_keys(text: np.ndarray, names: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of lines, and the names of their lines."""
     h, counts = shingles(text)
-    size = counts.copy()
-    long = np.flatnonzero(counts >= SHORT)  # only here can repeated shingles change the kind
-    size[long] = distinct(h[np.repeat(counts >= SHORT, counts)], counts[long])
+    long = surely(h, counts, MANY)
+    rest = ~long
+    few = sets(h[np.repeat(rest, counts)], counts[rest])  # repeated shingles change the kind, and cost time
+    size = np.full(len(counts), MANY)
+    size[rest] = np.bincount((few >> np.uint64(32)).astype(np.int64), minlength=int(rest.sum()))
+    few = few.astype(np.uint32)  # the shingles, line by line
     keys, owners = [], []
-    for kind, use, sign in ((0, size >= SHORT, some_permutations), (1, size * 0.8 < SHORT, many_permutations)):
-        if use.any():
-            k = keys_of(sign(h[np.repeat(use, counts)], counts[use], bands, rows), bands, kind)
-            keys.append(k.ravel()), owners.append(np.repeat(names[use], bands))
-    return np.concatenate(keys), np.concatenate(owners)
-
+    if (use := size >= SHORT).any():
+        keys.append(keys_of(some_permutations(h[np.repeat(use, counts)], counts[use], bands, rows), bands, 0)), owners.append(names[use])
+    if (use := size < MANY).any():
+        own = few[np.repeat(use[rest], size[rest])]
+        keys.append(keys_of(many_permutations(own, size[use], bands, rows), bands, 1)), owners.append(names[use])
+    return np.concatenate([k.ravel() for k in keys]), np.concatenate([np.repeat(o, bands) for o in owners])
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """(__cs_rid, id, lines): per document the hashes of its lines, null for lines without a word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            buf, off = text_bytes(batch.column(2))
-            for i, j in pieces(off):
-                own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                ends = np.searchsorted(own.row, np.arange(j - i + 1)).astype(np.int32)
-                lines = pa.ListArray.from_arrays(pa.array(ends), pa.array(own.hash.view(np.int64), mask=~own.has))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], lines], names=["__cs_rid", "id", "lines"])
+def packed_lines(docs: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
+    """From (__cs_rid, id, text), in one pass: PACKED (band key, line hash) of lines, and (__cs_rid, id, lines) of documents.
 
+    lines has the hashes of a document's lines, null for lines without a word; these rows have a part above the others.
+    A task sends a line's keys once, as far as it remembers (the first 2**20 lines).
+    """
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"__cs_rid long, id {kind}, lines array<long>")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen, names = Packer(parts), set(), ["part", "blob", "__cs_rid", "id", "lines"]
+        like = [pa.int64(), None, pa.list_(pa.int64())]
 
-def packed_bands(texts: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
-    """PACKED (band key, line hash) of lines; a task sends a line once, as far as it remembers (the first 2**20)."""
+        def sent(packed: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in packed:
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, t) for t in like)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(parts), set()
         for batch in released(batches):
-            buf, off = text_bytes(batch.column(0))
+            like[1] = batch.column(1).type
+            buf, off = text_bytes(batch.column(2))
             for i, j in pieces(off):
                 own = Lines(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                ends = np.searchsorted(own.row, np.arange(j - i + 1)).astype(np.int32)
+                lines = pa.ListArray.from_arrays(pa.array(ends), pa.array(own.hash.view(np.int64), mask=~own.has))
+                rid = batch.column(0)[i:j]
+                part = parts + ((mix(rid.to_numpy().view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.nulls(j - i, pa.binary()), rid, batch.column(1)[i:j], lines], names=names)
                 ids, first = np.unique(own.hash[own.has], return_index=True)
                 new = np.array([x not in seen for x in ids.tolist()], bool)
                 if not new.any():
@@ -234,14 +282,51 @@ def packed_bands(texts: DataFrame, bands: int, rows: int, parts: int) -> DataFra
                     seen.update(ids[new].tolist())
                 wanted = np.zeros(len(own.has), bool)
                 wanted[np.flatnonzero(own.has)[first[new]]] = True
-                yield from packer.add(*band_keys(own.text(wanted)[0], own.hash[wanted].view(np.int64), bands, rows))
-        yield from packer.drain()
+                yield from sent(packer.add(*band_keys(own.text(wanted)[0], own.hash[wanted].view(np.int64), bands, rows)))
+        yield from sent(packer.drain())
+
+    return docs.mapInArrow(run, f"{PACKED}, __cs_rid long, id {kind}, lines array<long>")
 
-    return texts.mapInArrow(run, PACKED)
+
+def unpacked_lines(packed: DataFrame) -> DataFrame:
+    """From packed_lines(): (key, node, centre) of the keys that three nodes or more have, (node, centre) of those that two have, and the documents' rows."""
+    kind = packed.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, like, docs = ["key", "node", "centre", "__cs_rid", "id", "lines"], [], []
+
+        def blobs() -> Iterator[pa.RecordBatch]:
+            for batch in released(batches):
+                n = batch.num_rows - batch.column(1).null_count  # documents come last
+                like[:] = [c.type for c in batch.columns[2:]]
+                docs.append(batch.slice(n))
+                yield batch.slice(0, n)
+
+        def waiting() -> Iterator[pa.RecordBatch]:
+            while docs:
+                b = docs.pop()
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(b.num_rows, pa.int64()) for _ in range(3)), *b.columns[2:]], names=names)
+
+        for _, held in by_part(blobs()):
+            yield from waiting()
+            k, v, first = shared(held)
+            if len(k):
+                at = np.arange(len(k))
+                two = np.bincount(first, minlength=len(k))[first] == 2
+                use = ~two | (first != at)
+                rows = [pa.array(k[use], mask=two[use]), pa.array(v[use]), pa.array(v[first][use])]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(int(use.sum()), t) for t in like)], names=names)
+        yield from waiting()
+
+    return dealt(packed).mapInArrow(run, f"key long, node long, centre long, __cs_rid long, id {kind}, lines array<long>")
 
 
 def line_texts(wanted: DataFrame) -> DataFrame:
-    """(node, line, size, sketch) of the lines named by (text, places, nodes): their normal text, ended by a line feed."""
+    """(node, line, size, sketch) of the lines named by (text, places, nodes, big): their normal text, ended by a line feed.
+
+    Only big ones, which are in buckets, get a size and a sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
@@ -249,23 +334,22 @@ def line_texts(wanted: DataFrame) -> DataFrame:
             place, node = batch.column(1), batch.column(2)
             at = place.offsets.to_numpy()
             for i, j in pieces(off):
-                part = parted(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                part, begin, end = buf[off[i] : off[j]], off[i:j] - off[i], off[i + 1 : j + 1] - off[i]
                 brk = np.flatnonzero(part == 10)
-                ends_of_rows = off[i + 1 : j + 1] - off[i] + np.arange(j - i)
-                first = np.append(0, np.searchsorted(brk, ends_of_rows[:-1]) + 1)
-                line = np.repeat(first, np.diff(at[i : j + 1])) + place.values.to_numpy()[at[i] : at[j]]
-                order = np.argsort(line)
-                line = line[order]
-                begin, end = np.append(0, brk + 1)[line], brk[line]
-                step = np.zeros(len(part) + 1, np.int8)
-                step[begin] += 1
-                step[end] -= 1
-                own = Lines(part[np.cumsum(step[:-1], dtype=np.int8) > 0], np.append(0, np.cumsum(end - begin)))
+                row = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                nth = np.searchsorted(brk, begin)[row] + place.values.to_numpy()[at[i] : at[j]]
+                begin = np.maximum(begin[row], np.append(-1, brk)[nth] + 1)
+                end = np.minimum(end[row], np.append(brk, len(part))[nth])
+                spans = [part[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                own = Lines(np.concatenate([part[:0], *spans]), np.append(0, np.cumsum(end - begin)))
                 text, ends = own.text(own.has)
                 ends = np.append(0, ends).astype(np.int32)
-                lines = pa.StringArray.from_buffers(len(line), pa.py_buffer(ends), pa.py_buffer(text))
-                size, sketch = sketches(text)
-                columns = [pa.array(node.values.to_numpy()[at[i] : at[j]][order]), lines, pa.array(size), pa.array(sketch, pa.binary())]
+                lines = pa.StringArray.from_buffers(len(spans), pa.py_buffer(ends), pa.py_buffer(text))
+                marked = batch.column(3).values.to_numpy(zero_copy_only=False)[at[i] : at[j]]
+                size, sketch = np.zeros(len(spans), np.int64), np.full(len(spans), None)
+                if marked.any():
+                    size[marked], sketch[marked] = sketches(text[np.repeat(marked, np.diff(ends))])
+                columns = [pa.array(node.values.to_numpy()[at[i] : at[j]]), lines, pa.array(size, mask=~marked), pa.array(sketch, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "line", "size", "sketch"])
 
     return wanted.mapInArrow(run, "node long, line string, size long, sketch binary")
@@ -293,12 +377,20 @@ class Same:
     def __init__(self, similarity: Fraction):
         self.similarity = similarity
 
-    def one(self, x: str, y: str) -> bool:
-        p, q = shingle_set(x), shingle_set(y)
-        both = len(p & q)
-        return self.similarity.denominator * both >= self.similarity.numerator * (len(p) + len(q) - both)
+    def over(self, both: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        """How far pairs are over the bound (0 or more: similar), by their shingles in common and those of both sides."""
+        return self.similarity.denominator * both - self.similarity.numerator * (all_ - both)
+
+    def exactly(self, xs: list[str], ys: list[str]) -> np.ndarray:
+        h, counts = exact_shingles(np.frombuffer("".join(xs + ys).encode(), np.uint8))
+        if h is not None:
+            n = len(xs)
+            at = int(counts[:n].sum())
+            return self.over(*overlap((h[:at], counts[:n]), (h[at:], counts[n:]))) >= 0
+        sides = [(shingle_set(x), shingle_set(y)) for x, y in zip(xs, ys, strict=True)]
+        return self.over(np.array([len(p & q) for p, q in sides]), np.array([len(p) + len(q) for p, q in sides])) >= 0
 
-    def __call__(self, xs: list[str], ys: list[str], most: int = 1 << 20) -> np.ndarray:
+    def __call__(self, xs: list[str], ys: list[str], most: int = 1 << 18) -> np.ndarray:
         """Sets of 32-bit hashes decide unless they are within two shingles of the bound; there, the shingles do."""
         out, a = np.zeros(len(xs), bool), 0
         while a < len(xs):
@@ -306,15 +398,11 @@ class Same:
             while b < len(xs) and (b == a or n < most):
                 n += len(xs[b]) + len(ys[b])
                 b += 1
-            p, q = (sets(*shingles(np.frombuffer("".join(v[a:b]).encode(), np.uint8))) for v in (xs, ys))
-            all_ = np.sort(np.concatenate([p, q]))
-            count = lambda v, n=b - a: np.bincount((v >> np.uint64(32)).astype(np.int64), minlength=n)
-            both = count(all_[1:][all_[1:] == all_[:-1]])
-            num, den = self.similarity.numerator, self.similarity.denominator
-            over = den * both - num * (count(all_) - both)
+            over = self.over(*overlap(*(shingles(np.frombuffer("".join(v[a:b]).encode(), np.uint8)) for v in (xs, ys))))
             out[a:b] = over >= 0
-            for k in np.flatnonzero(np.abs(over) <= 2 * (num + den)):
-                out[a + k] = self.one(xs[a + k], ys[a + k])
+            near = (a + np.flatnonzero(np.abs(over) <= 2 * (self.similarity.numerator + self.similarity.denominator))).tolist()
+            if near:
+                out[near] = self.exactly([xs[k] for k in near], [ys[k] for k in near])
             a = b
         return out
 
@@ -335,17 +423,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, docs = docs.sparkSession, filed(docs)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = numbered(slim).select("__cs_rid", "id", "text")
-    lines = cut(line_hashes(base))
-    buckets = cut(buckets_of(packed_bands(slim.select("text"), bands, rows, n_parts(spark))))
+    both = cut(unpacked_lines(packed_lines(base, bands, rows, n_parts(spark))))
+    lines = both.where("__cs_rid IS NOT NULL").select("__cs_rid", "id", "lines")
+    buckets = both.where("key IS NOT NULL").select("key", "node", "centre")
+    pairs = both.where("key IS NULL AND node IS NOT NULL").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    pairs = cut(pairs.distinct())
     spots = lines.select("__cs_rid", "id", F.posexplode("lines").alias("place", "node")).where("node IS NOT NULL")
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("__cs_rid"), F.col("place"))
-    each = cut(spots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")))
+    each = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    mates = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("big")).unionAll(buckets.select("node", F.lit(True).alias("big")))
+    each = cut(each.join(mates.groupBy("node").agg(F.max("big").alias("big")), "node", "left").where("n > 1 OR big IS NOT NULL"))
 
     low = buckets.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LOW).alias("low"))
-    owner = each.join(low.select("node"), "node", "left_semi")
-    asked = owner.groupBy("first.__cs_rid").agg(F.collect_list(F.struct("first.place", "node")).alias("l"))
+    asked = each.where("big IS NOT NULL").groupBy("first.__cs_rid").agg(F.collect_list(F.struct("first.place", "node", "big")).alias("l"))
     wanted = base.select("__cs_rid", "text").join(asked.hint("shuffle_hash"), "__cs_rid")
-    texts = cut(line_texts(wanted.select("text", "l.place", "l.node")))
+    texts = cut(line_texts(wanted.select("text", "l.place", "l.node", "l.big")))
     same = Same(Fraction(similarity).limit_denominator(1000))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -353,9 +445,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return similar(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "line_a", "line_b"), same)
 
     marks = texts.join(low, "node").select("node", "size", "sketch", "low", F.col("line").alias("payload"))
-    linked = resolve(buckets, verify, marks, Whole(same.similarity), same)
-    discard(buckets, texts)
-    many = each.join(linked, "node", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    linked = resolve(buckets, verify, marks, Whole(same.similarity), same, pairs)
+    discard(pairs, texts)
+    many = each.drop("big").join(linked, "node", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     best = many.groupBy("root").agg(F.min("first").alias("best"))
     keeper = cut(many.join(best, "root").select("node", "best"))
     gone = spots.join(keeper, "node").where(~((F.col("best.__cs_rid") == F.col("__cs_rid")) & (F.col("best.place") == F.col("place"))))

@@ -7,7 +7,8 @@ Components: rounds of min-label hooking, pointer jumping and contraction on tabl
 (min), never gathered. Edges shrink each round until none is left.
 
 resolve() finds the components of the links among bucket mates. First each node is tried with the centre that the most of
-its buckets have (twice, with other centres, where pairs are verified outside the buckets). Buckets that hold one component after that are done: mates in one component need no trial. In each
+its buckets have (twice, with other centres, where pairs are verified outside the buckets). Buckets that hold one component after that are done: mates in one component need no trial. Buckets of two nodes can come as pairs, so
+that a pair is tried once however many keys it shares. In each
 other bucket, mates of different components are compared by bitmaps, without making a row for any pair that the bitmaps
 rule out: a set's bitmap has a bit for each token's hash, so two sets differ in at least as many tokens as bits. A pair
 that shares several buckets counts in one of them: each node carries its `LOW` smallest keys, and a bucket leaves out
@@ -53,7 +54,7 @@ class Packer:
         k, v = np.concatenate(self.keys), np.concatenate(self.nodes).view(np.uint64)
         self.keys, self.nodes, self.n = [], [], 0
         part = ((k >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint16) if self.parts <= 1 << 16 else part, kind="stable")  # by radix
         part, both = part[order], np.stack([k[order], v[order]], axis=1)
         ids, first = np.unique(part, return_index=True)
         blobs = [b.tobytes() for b in np.split(both, first[1:])]
@@ -83,33 +84,38 @@ def dealt(packed: DataFrame) -> DataFrame:
     return packed.repartition(n, "part").sortWithinPartitions("part")
 
 
+def shared(blobs: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, node and place of the key's first row for the keys that several nodes have; a key's first node is its centre."""
+    both = np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]).reshape(-1, 2)
+    k, v = both[:, 0], both[:, 1]
+    order = np.argsort(k)
+    k, v = k[order], v[order]
+    again = np.zeros(len(k), bool)
+    again[1:] = k[1:] == k[:-1]
+    again[:-1] |= again[1:]
+    k, v = k[again], v[again]
+    order = np.lexsort((mix(v), k))  # the node whose hash is the smallest is the centre
+    k, v = k[order], v[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+    k, v = k[new], v[new]
+    again = np.zeros(len(k), bool)
+    again[1:] = k[1:] == k[:-1]
+    again[:-1] |= again[1:]
+    k, v = k[again], v[again]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    return k.view(np.int64), v.view(np.int64), np.flatnonzero(first)[np.cumsum(first) - 1]
+
+
 def buckets_of(packed: DataFrame) -> DataFrame:
     """(key, node, centre) of the keys that several nodes have, from PACKED rows; centre is one of the key's nodes."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_part(released(batches)):
-            both = np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]).reshape(-1, 2)
-            k, v = both[:, 0], both[:, 1]
-            order = np.argsort(k, kind="stable")
-            k, v = k[order], v[order]
-            again = np.zeros(len(k), bool)
-            again[1:] = k[1:] == k[:-1]
-            again[:-1] |= again[1:]
-            k, v = k[again], v[again]
-            order = np.lexsort((mix(v), k))  # the node whose hash is the smallest is the centre
-            k, v = k[order], v[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-            k, v = k[new], v[new]
-            again = np.zeros(len(k), bool)
-            again[1:] = k[1:] == k[:-1]
-            again[:-1] |= again[1:]
-            k, v = k[again], v[again]
+            k, v, first = shared(blobs)
             if len(k):
-                first = np.ones(len(k), bool)
-                first[1:] = k[1:] != k[:-1]
-                centre = v[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, v, centre)], names=["key", "node", "centre"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, v, v[first])], names=["key", "node", "centre"])
 
     return dealt(packed).mapInArrow(unpack, "key long, node long, centre long")
 
@@ -289,8 +295,8 @@ def near(rows: DataFrame, allow: Whole, same: Callable | None = None, flush: int
     return rows.select(*columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: DataFrame, allow: Whole, same: Callable | None = None) -> DataFrame:
-    """(node, root) of the components of links among bucket mates.
+def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: DataFrame, allow: Whole, same: Callable | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components of links among bucket mates, and among pairs (a, b) that are all tried.
 
     buckets: (key, node, centre). verify maps (a, b) to the pairs that link. marks: (node, size, sketch, low, and payload
     if same is given), where low has a node's LOW smallest keys in order.
@@ -308,7 +314,8 @@ def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], marks:
         mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         return cut(at.join(mixed, "key", "left_semi"))
 
-    tried = cut(most_shared(buckets.where("node <> centre")))
+    centres = most_shared(buckets.where("node <> centre"))
+    tried = cut(centres if pairs is None else centres.unionAll(pairs).distinct())
     found = components(verify(tried))
     rest = still_open(buckets.select("key", "node"))
     if same is None:  # another centre, as each pair that the bitmaps leave is verified elsewhere

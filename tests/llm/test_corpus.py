@@ -206,6 +206,50 @@ def test_repetitive_lines_of_any_length_meet(spark):
     assert sorted((r.doc_id, r.n_removed) for r in line_dedup.dedup_lines(table).collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
 
 
+def test_lines_of_few_shingles_are_signed_by_their_distinct_ones(monkeypatch):
+    signed, sign = [], line_dedup.many_permutations
+    monkeypatch.setattr(line_dedup, "many_permutations", lambda h, counts, *rest: signed.append(len(h)) or sign(h, counts, *rest))
+    lines = ["ha " * 2000 + "x", "=" * 5000, "a line of its own", "ab" * 500]
+    line_dedup.band_keys(np.frombuffer(("\n".join(lines) + "\n").encode(), np.uint8), np.arange(4), 24, 6)
+    assert sum(signed) == sum(len(line_dedup.shingle_set(x)) for x in lines)
+
+
+def test_a_pair_of_lines_that_shares_many_bands_is_tried_once(spark, monkeypatch):
+    rng, seen, resolve = random.Random(5), [], line_dedup.resolve
+
+    def spy(buckets, verify, marks, allow, same, pairs=None):
+        def counted(p):
+            seen.append(p.count())
+            return verify(p)
+
+        seen.append(buckets.count())
+        return resolve(buckets, counted, marks, allow, same, pairs)
+
+    monkeypatch.setattr(line_dedup, "resolve", spy)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(120)).strip() for _ in range(6)]
+    table = spark.createDataFrame([(f"{k}{i}", f"{k}\n" + line + k) for i, line in enumerate(lines) for k in "xy"], "doc_id string, text string")
+    out = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table).collect()}
+    assert seen == [0, 6]  # no buckets, and six pairs
+    assert out == {f"{k}{i}": (k == "x" and i > 0) + (k == "y") + (k == "y" and i > 0) for i in range(6) for k in "xy"}
+
+
+def test_pairs_near_the_bound_are_decided_by_their_shingles():
+    rng, same = random.Random(7), line_dedup.Same(Fraction(4, 5))
+    for letters in ("ab c", "abcdeé中\U0001f600", [chr(0x4E00 + k) for k in range(9000)]):
+        xs, ys = [], []
+        for _ in range(400):
+            x = [rng.choice(letters) for _ in range(rng.randrange(1, 60))]
+            y = list(x)
+            for _ in range(rng.randrange(3)):
+                y[rng.randrange(len(y))] = rng.choice(letters)
+            xs.append("".join(x) + "\n"), ys.append("".join(y) + "\n")
+        want = []
+        for x, y in zip(xs, ys, strict=True):
+            p, q = line_dedup.shingle_set(x), line_dedup.shingle_set(y)
+            want.append(5 * len(p & q) >= 4 * len(p | q))
+        assert same(xs, ys).tolist() == same.exactly(xs, ys).tolist() == want
+
+
 def groups_by_brute_force(rows, k, t):
     sets = []
     for r in rows:
