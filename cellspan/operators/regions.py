@@ -123,31 +123,53 @@ def tss_score(enrichment: DataFrame) -> DataFrame:
     return enrichment.groupBy("barcode").agg(F.max("enrichment").alias("score"))
 
 
+def laid_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks with c0, the bases of the feature before the block in genomic order, and total, the feature's bases."""
+    w = "PARTITION BY feature"
+    before = f"coalesce(sum(end - start) OVER ({w} ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return blocks.selectExpr("*", f"{before} AS c0", f"sum(end - start) OVER ({w}) AS total")
+
+
+def _up(x: str, bins: int, total: str = "total") -> str:
+    """SQL for the offset at which bin x of a feature begins."""
+    return f"((({x}) * {total} + {bins - 1}) div {bins})"
+
+
 def feature_bins(blocks: DataFrame, bins: int = 100) -> DataFrame:
     """chrom, start, end, feature, bin: the genomic intervals of each feature's equal bins, 5' to 3'."""
-    w = "PARTITION BY feature"
-    laid = blocks.selectExpr(
-        "*", f"coalesce(sum(end - start) OVER ({w} ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0", f"sum(end - start) OVER ({w}) AS total"
-    )
-    each = laid.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    up = lambda x: f"(({x}) * total + {bins - 1}) div {bins}"
-    each = each.withColumns({"b0": F.expr(up("bin")), "b1": F.expr(up("bin + 1"))})
+    each = laid_blocks(blocks).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    each = each.withColumns({"b0": F.expr(_up("bin", bins)), "b1": F.expr(_up("bin + 1", bins))})
     each = each.withColumns({"t0": F.expr("if(strand = '-', total - b1, b0)"), "t1": F.expr("if(strand = '-', total - b0, b1)")})
     clip = lambda x: f"start + greatest(0L, least(end - start, {x} - c0))"
     return each.selectExpr("chrom", f"{clip('t0')} AS s", f"{clip('t1')} AS e", "feature", "bin").where("s < e").withColumnsRenamed({"s": "start", "e": "end"})
 
 
+def feature_offsets(intervals: DataFrame, blocks: DataFrame) -> DataFrame:
+    """intervals that overlap a block of a feature, with r_feature, r_total and o0, o1: the offsets they cover, 5' to 3'.
+
+    Blocks are joined whole and bins follow from offsets by arithmetic, so the blocks' side is as large as the blocks.
+    """
+    spots = laid_blocks(blocks).selectExpr("chrom", "greatest(start, 0L) AS start", "end", "feature", "strand", "total", "c0 - start AS shift")
+    hits = overlap_join(intervals, spots).withColumns({"g0": F.expr("greatest(start, r_start) + r_shift"), "g1": F.expr("least(end, r_end) + r_shift")})
+    turned = {"o0": F.expr("if(r_strand = '-', r_total - g1, g0)"), "o1": F.expr("if(r_strand = '-', r_total - g0, g1)")}
+    return hits.withColumns(turned).drop("g0", "g1")
+
+
 def metagene(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, bins: int = 100, least: int = 0, most: int | None = 1024) -> DataFrame:
     """group, feature, bin, bases: fragment bases in each bin that has some."""
-    used = of_length(with_group(pairs, groups), least, most)
-    hits = overlap_join(used, feature_bins(blocks, bins))
-    return hits.groupBy("group", F.col("r_feature").alias("feature"), F.col("r_bin").alias("bin")).agg(F.sum(overlap_length()).alias("bases"))
+    used = of_length(with_group(pairs, groups), least, most).select("group", "chrom", "start", "end")
+    hits = feature_offsets(used, blocks).select("group", F.col("r_feature").alias("feature"), F.col("r_total").alias("total"), "o0", "o1")
+    each = hits.withColumn("bin", F.explode(F.expr(f"sequence(cast(o0 * {bins} div total AS int), cast((o1 - 1) * {bins} div total AS int))")))
+    bases = f"least(o1, {_up('bin + 1', bins)}) - greatest(o0, {_up('bin', bins)})"
+    return each.select("group", "feature", "bin", F.expr(bases).alias("bases")).where("bases > 0").groupBy("group", "feature", "bin").agg(F.sum("bases").alias("bases"))
 
 
 def metagene_filled(counts: DataFrame, groups: DataFrame, blocks: DataFrame, bins: int = 100) -> DataFrame:
-    """The counts with zeros: every group, feature and bin."""
-    grid = groups.select("group").distinct().crossJoin(blocks.select("feature").distinct()).select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counts, ["group", "feature", "bin"], "left").withColumn("bases", F.coalesce("bases", F.lit(0).cast("long")))
+    """The counts with zeros: every group, feature and bin. A feature's bins of a group travel as one row, the zeros not at all."""
+    known = counts.groupBy("group", "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "bases"))).alias("known"))
+    grid = groups.select("group").distinct().crossJoin(blocks.select("feature").distinct()).join(known, ["group", "feature"], "left")
+    each = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return each.select("group", "feature", "bin", F.expr("coalesce(try_element_at(known, bin), 0L)").alias("bases"))
 
 
 def metagene_normalization(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, least: int = 0, most: int | None = 1024) -> DataFrame:
@@ -170,6 +192,6 @@ def genebody(reads: DataFrame, blocks: DataFrame, barcodes: DataFrame, bins: int
     reads: barcode, rname, pos, after QC and first_seen().
     """
     points = only_listed(reads, barcodes).select("barcode", F.col("rname").alias("chrom"), (F.col("pos") - 1).cast("long").alias("start"), F.col("pos").cast("long").alias("end"))
-    counts = overlap_join(points, feature_bins(blocks, bins)).groupBy("barcode", F.col("r_bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = feature_offsets(points, blocks).groupBy("barcode", F.expr(f"cast(o0 * {bins} div r_total AS int)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = barcodes.select("barcode").distinct().select("barcode", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, ["barcode", "bin"], "left").select("barcode", "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

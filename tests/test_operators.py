@@ -119,3 +119,39 @@ def test_fastq_names(spark):
     names = lambda **k: [r.name for r in P.fastq_with_barcode(reads, codes, **k).orderBy("rec_id").collect()]
     assert names(column=0, first=1) == ["@a:CGT  b", "@a:CGT "]
     assert names(column=1, split=1) == ["@b:A+CGT a "]
+
+
+def test_bins_follow_from_offsets(spark):
+    """Bins of fragments and reads against every base; the blocks' side is never multiplied by the bins."""
+    spans = [("F", 0, 4, "-"), ("F", 10, 16, "-"), ("G", 20, 23, "+"), ("G", 40, 90_000, "+"), ("H", 5, 7, "+")]
+    blocks = frame(spark, [("c", s, e, f, d) for f, s, e, d in spans], "chrom string, start long, end long, feature string, strand string")
+    pairs = pairs_of(spark, (0, 12, "A"), (3, 60, "A"), (22, 900, "B"), (89_990, 90_010, "B"))
+    groups = frame(spark, [("A", "g"), ("B", "h")], "barcode string, `group` string")
+    bins, want, first = 7, {}, {}
+    for f, strand in (("F", "-"), ("G", "+"), ("H", "+")):
+        bases = [b for n, s, e, _ in spans if n == f for b in range(s, e)]
+        for o, b in enumerate(bases):
+            k = (len(bases) - 1 - o if strand == "-" else o) * bins // len(bases)
+            for s, e, g in ((0, 12, "g"), (3, 60, "g"), (22, 900, "h"), (89_990, 90_010, "h")):
+                if s <= b < e:
+                    want[g, f, k] = want.get((g, f, k), 0) + 1
+                if s == b:
+                    first[{"g": "A", "h": "B"}[g], k] = first.get(({"g": "A", "h": "B"}[g], k), 0) + 1
+    counts = R.metagene(pairs, groups, blocks, bins)
+    assert {(r.group, r.feature, r.bin): r.bases for r in counts.collect()} == want
+    filled = R.metagene_filled(counts, groups, blocks, bins).collect()
+    assert len(filled) == 2 * 3 * bins and {(r.group, r.feature, r.bin): r.bases for r in filled if r.bases} == want
+    reads = pairs.selectExpr("barcode", "chrom AS rname", "cast(start + 1 AS int) AS pos")
+    got = R.genebody(reads, blocks, listed(spark, "A", "B"), bins)
+    assert {(r.barcode, r.bin): r.n for r in got.collect() if r.n} == first
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (counts, got)]
+    assert [p.split("Join Inner, (")[-1].count("explode(sequence(0") for p in plans] == [0, 0]
+
+
+def test_metagene_profile_without_windows_over_features(spark):
+    counts = frame(spark, [("g", "F", 0, 2), ("g", "F", 1, 2), ("g", "G", 0, 4), ("h", "G", 1, 5)], "`group` string, feature string, bin int, bases long")
+    got = lambda **k: sorted((r.group, r.bin, round(r.bpm, 6)) for r in P.metagene_profile(counts, **k).collect())
+    assert got() == [("g", 0, 375000.0), ("g", 1, 250000.0), ("h", 1, 1000000.0)]
+    assert got(features=frame(spark, [("F",)], "feature string")) == [("g", 0, 250000.0), ("g", 1, 250000.0)]
+    plan = P.metagene_profile(counts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate")
