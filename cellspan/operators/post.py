@@ -50,9 +50,11 @@ def metagene_profile(counts: DataFrame, groups: DataFrame | None = None, feature
     groups are chosen before the bases are related to their sum, features after.
     """
     own = counts if groups is None else counts.join(groups.select("group"), "group", "left_semi")
-    million = own.withColumn("bpm", 1e6 * A.ratio(F.col("bases"), F.expr("sum(bases) OVER (PARTITION BY `group`)")))
-    chosen = million if features is None else million.join(features.select("feature"), "feature", "left_semi")
-    return chosen.groupBy("group", "bin").agg(F.avg("bpm").alias("bpm"))
+    chosen = own.withColumn("__in", F.lit(True)) if features is None else own.join(features.select("feature").distinct().withColumn("__in", F.lit(True)), "feature", "left")
+    sums = chosen.groupBy("group", "bin").agg(F.sum("bases").alias("all"), F.sum(F.when(F.col("__in"), F.col("bases"))).alias("b"), F.count_if("__in").alias("n"))
+    # sums by group and bin are few, so no window or second pass runs over the features
+    million = sums.withColumn("total", F.expr("sum(all) OVER (PARTITION BY `group`)")).where("n > 0")
+    return million.select("group", "bin", (1e6 * A.ratio(F.col("b"), F.col("total")) / F.col("n")).alias("bpm"))
 
 
 def tss_by_cluster(scores: DataFrame, clusters: DataFrame) -> DataFrame:
