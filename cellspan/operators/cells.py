@@ -110,12 +110,15 @@ def mismatches(alignments: DataFrame, min_mapq: int = 0, tag: str = A.BARCODE_TA
     Positions of X operations are mismatches; where MD is given, so are the positions it names.
     """
     used = alignments.where(A.passes_qc(min_mapq, A.MISMATCH_REQUIRE, A.MISMATCH_EXCLUDE)).withColumn("barcode", A.tag_value(tag)).where("barcode IS NOT NULL")
-    blocks = used.select("barcode", F.col("rname").alias("chrom"), "seq", "cigar", "pos", A.tag_value("MD").alias("md"), "rec_id", F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
-    sites = blocks.select("barcode", "chrom", "seq", "md", "pos", "rec_id", F.col("b.op").alias("op"), F.col("b.start").alias("b0"), F.col("b.at").alias("r0"), F.explode(F.expr("sequence(b.start, b.end - 1)")).alias("site"))
-    base = F.expr("substring(seq, cast(r0 + site - b0 + 1 AS int), 1)")
-    named = used.where("pos IS NOT NULL").select("rec_id", F.explode(_md_sites()).alias("site")).distinct().withColumn("md_hit", F.lit(True))
-    hit = sites.join(named, ["rec_id", "site"], "left").where("op = 'X' OR md_hit").select("barcode", "chrom", "site", base.alias("base")).where("base IN ('A', 'C', 'G', 'T')")
-    return hit, sites.select("barcode", "chrom", "site")
+    named = used.select("barcode", F.col("rname").alias("chrom"), "seq", F.array_distinct(_md_sites()).alias("md"), A.aligned_blocks(F.col("pos"), F.col("cigar")).alias("bs"))
+    # only mismatches are laid out, from the read itself; an MD site outside the aligned blocks is none
+    blocks = named.select("barcode", "chrom", "seq", "md", F.explode("bs").alias("b"))
+    found = F.expr("if(b.op = 'X', sequence(b.start, b.end - 1), filter(md, p -> p >= b.start AND p < b.end))")
+    hits = blocks.where("b.start < b.end").select("barcode", "chrom", "seq", "b", F.explode(found).alias("site"))
+    base = F.expr("substring(seq, cast(b.at + site - b.start + 1 AS int), 1)")
+    hit = hits.select("barcode", "chrom", "site", base.alias("base")).where("base IN ('A', 'C', 'G', 'T')")
+    every = used.select("barcode", F.col("rname").alias("chrom"), F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b")).where("b.start < b.end")
+    return hit, every.select("barcode", "chrom", F.explode(F.expr("sequence(b.start, b.end - 1)")).alias("site"))
 
 
 def _md_sites() -> Column:

@@ -155,3 +155,12 @@ def test_metagene_profile_without_windows_over_features(spark):
     assert got(features=frame(spark, [("F",)], "feature string")) == [("g", 0, 250000.0), ("g", 1, 250000.0)]
     plan = P.metagene_profile(counts)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate")
+
+
+def test_mismatches_stay_with_their_read(spark):
+    """Two reads of one rec_id keep their own MD sites; nothing is joined, and only mismatches are laid out."""
+    rows = [read(7, "n", 0, 1, "3M1D2M", seq="ACGTA", tags=["CB:Z:K", "MD:Z:1A1^T0C1"]), read(7, "m", 0, 3, "5M", seq="CCCCC", tags=["CB:Z:L", "MD:Z:0A4"]), read(8, "o", 0, 1, "1X0M1=", seq="TA", tags=["CB:Z:L", "MD:Z:0A1"])]
+    hit, sites = C.mismatches(frame(spark, rows, S.ALIGNMENT_SCHEMA))
+    assert sorted((r.barcode, r.site, r.base) for r in hit.collect()) == [("K", 1, "C"), ("K", 4, "T"), ("L", 0, "T"), ("L", 2, "C")]
+    assert sites.count() == 12
+    assert "Join" not in hit._jdf.queryExecution().optimizedPlan().toString()
