@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Default flag masks and barcode places of the two assays.
@@ -95,6 +95,52 @@ def aligned_blocks(pos: Column, cigar: Column) -> Column:
     return F.when(_plain(cigar), whole).otherwise(F.aggregate(cigar_ops(cigar), start, step, lambda acc: acc["b"]))
 
 
+#: CIGARs of up to so many operations are read by compiled expressions; longer ones are walked, with the same results.
+SHORT_CIGAR = 6
+
+
+def with_operations(alignments: DataFrame) -> DataFrame:
+    """alignments with __op and __n, the operations and lengths of a short CIGAR; __n is null for others.
+
+    Characters are translated and split at spaces, as patterns cost several times as much.
+    """
+    letters = "MIDNSHP=X"
+    parts = alignments.withColumns({"__op": F.translate("cigar", "0123456789", ""), "__sp": F.translate("cigar", letters, " " * len(letters))})
+    known = (F.length("__op").between(1, SHORT_CIGAR)) & (F.translate("__op", letters, "") == "")
+    whole = F.col("__sp").endswith(" ") & ~F.col("__sp").startswith(" ") & ~F.col("__sp").contains("  ")
+    return parts.withColumn("__n", F.when(known & whole, F.split("__sp", " "))).drop("__sp")
+
+
+def _operation(k: int) -> Column:
+    return F.substring("__op", k + 1, 1)
+
+
+def _advance(k: int, ops: str) -> Column:
+    """Bases that operation k adds, if it is one of ops."""
+    return F.when(_operation(k).isin(*ops), F.get("__n", F.lit(k)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def operations_end() -> Column:
+    """reference_end of rows that have with_operations()."""
+    span = sum((_advance(k, "MDN=X") for k in range(1, SHORT_CIGAR)), _advance(0, "MDN=X"))
+    return F.when(F.col("__n").isNotNull(), F.col("pos") - 1 + span).otherwise(reference_end(F.col("pos"), F.col("cigar")))
+
+
+def each_block(alignments: DataFrame, *columns: str | Column) -> DataFrame:
+    """columns and b, a row for each of aligned_blocks() of alignments."""
+    n = range(SHORT_CIGAR)
+    steps = {f"__{name}{k}": _advance(k, ops) for name, ops in (("r", "MDN=X"), ("q", "MIS=X")) for k in n}
+    before = lambda name, k: sum((F.col(f"__{name}{j}") for j in range(k)), F.lit(0).cast("long"))
+    blocks = []
+    for k in n:
+        op, start = _operation(k), (F.col("pos") - 1).cast("long") + before("r", k)
+        block = F.struct(start.alias("start"), (start + F.col(f"__r{k}")).alias("end"), op.alias("op"), before("q", k).alias("at"))
+        blocks.append(F.when(op.isin("M", "=", "X"), block))
+    found = F.when(F.col("__n").isNotNull(), F.array(*blocks)).otherwise(aligned_blocks(F.col("pos"), F.col("cigar")))
+    # outer, so that no filter is inferred that evaluates the blocks a second time
+    return with_operations(alignments).withColumns(steps).select(*columns, F.explode_outer(found).alias("b")).where("b IS NOT NULL")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double, null where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))

@@ -54,57 +54,78 @@ def overlap_length() -> Column:
     return F.least("end", "r_end") - F.greatest("start", "r_start")
 
 
-def _events(intervals: DataFrame, by: list[str], tile: int) -> DataFrame:
-    """*by, tile, pos, d: where intervals begin (1) and end (-1), cut at tile edges."""
+def _cut(intervals: DataFrame, by: list[str], tile: int) -> DataFrame:
+    """*by, tile, s, e: the intervals, cut at tile edges."""
     used = intervals.where("start >= 0 AND start < end")
     cut = used.select(*by, "start", "end", F.explode(F.expr(f"sequence(start div {tile}, (end - 1) div {tile})")).alias("tile"))
-    cut = cut.select(*by, "tile", F.greatest("start", F.expr(f"tile * {tile}")).alias("s"), F.least("end", F.expr(f"(tile + 1) * {tile}")).alias("e"))
+    return cut.select(*by, "tile", F.greatest("start", F.expr(f"tile * {tile}")).alias("s"), F.least("end", F.expr(f"(tile + 1) * {tile}")).alias("e"))
+
+
+def _ends(cut: DataFrame, by: list[str]) -> DataFrame:
+    """*by, tile, pos, d: where cut intervals begin (1) and end (-1)."""
     return cut.select(*by, "tile", F.explode(F.expr("array(struct(s AS pos, 1 AS d), struct(e AS pos, -1 AS d))")).alias("x")).select(*by, "tile", "x.pos", "x.d")
 
 
-def _across_tiles(runs: DataFrame, by: list[str], tile: int, value: str | None = None) -> DataFrame:
+def _events(intervals: DataFrame, by: list[str], tile: int) -> DataFrame:
+    return _ends(_cut(intervals, by, tile), by)
+
+
+def _across_tiles(runs: DataFrame, by: list[str], tile: int, value: str | None = None, touching: DataFrame | None = None) -> DataFrame:
     """Segments (*by, start, end, value) with those joined up that meet at a tile's edge and have the same value.
 
-    Only segments at an edge, two a tile at most, are in a window of their own keys.
+    Only segments at an edge, two a tile at most, are in a window of their own keys. touching: runs that hold at least
+    those at an edge, where these are cheaper to find than by sweeping all once more.
     """
     cols = ", ".join(by)
     edge = f"(start % {tile} = 0 OR end % {tile} = 0)"
     w = f"PARTITION BY {cols} ORDER BY start"
     same = f" AND lag({value}) OVER ({w}) = {value}" if value else ""
-    at_edge = runs.where(edge).withColumn("fresh", F.expr(f"CASE WHEN lag(end) OVER ({w}) = start{same} THEN 0 ELSE 1 END"))
+    at_edge = (runs if touching is None else touching).where(edge).withColumn("fresh", F.expr(f"CASE WHEN lag(end) OVER ({w}) = start{same} THEN 0 ELSE 1 END"))
     islands = at_edge.withColumn("island", F.expr(f"sum(fresh) OVER ({w})")).groupBy(*by, "island")
     joined = islands.agg(F.min("start").alias("start"), F.max("end").alias("end"), *([F.first(value).alias(value)] if value else [])).drop("island")
     return runs.where(f"NOT {edge}").unionByName(joined)
 
 
 def coverage(intervals: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
-    """Maximal segments of constant depth above 0: chrom, *keys, start, end, depth."""
+    """Maximal segments of constant depth above 0: chrom, *keys, start, end, depth.
+
+    Intervals are dealt once by key and tile; the sweep for segments at edges sees only those keys and tiles that have an
+    interval at one.
+    """
     by = ["chrom", *keys]
-    steps = _events(intervals, by, tile).groupBy(*by, "tile", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
-    w = f"PARTITION BY {', '.join(by)}, tile ORDER BY pos"
-    runs = steps.selectExpr(*by, "pos AS start", f"lead(pos) OVER ({w}) AS end", f"sum(d) OVER ({w}) AS depth").where("depth > 0")
-    return _across_tiles(runs, by, tile, "depth")
+    w = f"PARTITION BY {', '.join(by)}, tile"
+    cut = _cut(intervals, by, tile).repartition(*by, "tile")
+    at_edge = cut.withColumn("near", F.expr(f"max(s % {tile} = 0 OR e % {tile} = 0) OVER ({w})")).where("near")
+
+    def runs(part: DataFrame) -> DataFrame:
+        steps = _ends(part, by).groupBy(*by, "tile", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+        return steps.selectExpr(*by, "pos AS start", f"lead(pos) OVER ({w} ORDER BY pos) AS end", f"sum(d) OVER ({w} ORDER BY pos) AS depth").where("depth > 0")
+
+    return _across_tiles(runs(cut), by, tile, "depth", runs(at_edge))
 
 
 def joint_coverage(intervals: DataFrame, key: str, tile: int = TILE) -> DataFrame:
-    """Segments cut wherever any key's depth changes: chrom, start, end, key, depth (above 0)."""
-    own = coverage(intervals, [key], tile)
-    cuts = own.select("chrom", F.explode(F.array("start", "end")).alias("pos")).distinct().withColumn("tile", F.expr(f"pos div {tile}"))
-    # an edge of each tile in use keeps the windows within tiles
-    tiles = own.select("chrom", F.explode(F.expr(f"sequence(start div {tile}, (end - 1) div {tile})")).alias("tile")).distinct()
-    edges = tiles.select("chrom", F.explode(F.array(F.expr(f"tile * {tile}"), F.expr(f"(tile + 1) * {tile}"))).alias("pos"), "tile")
-    points = cuts.select("chrom", "pos", "tile", F.lit(True).alias("real")).unionByName(edges.withColumn("real", F.lit(False)))
-    points = points.groupBy("chrom", "tile", "pos").agg(F.max("real").alias("real"))
-    parts = points.selectExpr("chrom", "pos AS start", "lead(pos) OVER (PARTITION BY chrom, tile ORDER BY pos) AS end").where("end IS NOT NULL")
-    pieces = overlap_join(parts, own.withColumnRenamed(key, "key"), tile // 64).select("chrom", "start", "end", F.col("r_key").alias(key), F.col("r_depth").alias("depth"))
-    at_edge = f"(start % {tile} = 0 OR end % {tile} = 0)"
-    cut_at = cuts.select("chrom", F.col("pos").alias("start"), F.lit(1).alias("real"))
-    w = f"PARTITION BY chrom, {key} ORDER BY start"
-    edge = pieces.where(at_edge).join(cut_at, ["chrom", "start"], "left")
-    edge = edge.withColumn("fresh", F.expr(f"CASE WHEN real IS NULL AND lag(end) OVER ({w}) = start THEN 0 ELSE 1 END"))
-    edge = edge.withColumn("island", F.expr(f"sum(fresh) OVER ({w})")).groupBy("chrom", key, "island")
-    edge = edge.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("depth").alias("depth")).drop("island")
-    return pieces.where(f"NOT {at_edge}").unionByName(edge)
+    """Segments cut wherever any key's depth changes: chrom, start, end, key, depth (above 0).
+
+    Segments meet the cuts of their bins in one aggregation, and take them by their places in the bin's sorted array, so
+    the work is that of the rows that come out; nothing is compared with all segments of a bin.
+    """
+    width = max(1, tile // 8192)
+    many = max(1, tile // 16 // width)
+    own = coverage(intervals, [key], tile).where("chrom IS NOT NULL")
+    laid = own.withColumn("bin", F.explode(F.expr(f"sequence(start div {width}, end div {width})"))).withColumn("block", F.expr(f"bin div {many}")).where("block IS NOT NULL").repartition("chrom", "block")
+    here = lambda c: F.expr(f"if({c} div {width} = bin, {c}, NULL)")
+    # the first cut of the next block in use ends the last piece of a block
+    # (the hash of the other columns and the checks for nulls keep both reads of laid the same, so that one exchange serves them)
+    firsts = laid.groupBy("chrom", "block").agg(F.min(F.least(here("start"), here("end"))).alias("first"), F.max(F.xxhash64(key, "depth")).alias("h")).where("first IS NOT NULL AND h IS NOT NULL")
+    later = firsts.select("chrom", "block", F.expr("lead(first) OVER (PARTITION BY chrom ORDER BY block)").alias("later"))
+    cuts = F.sort_array(F.array_union(F.collect_set(here("start")), F.collect_set(here("end"))))
+    bins = laid.groupBy("chrom", "block", "bin").agg(cuts.alias("cuts"), F.collect_list(F.struct(F.col(key).alias("key"), "start", "end", "depth")).alias("own")).where("size(cuts) > 0")
+    ahead = bins.withColumn("next", F.expr("lead(cuts[0]) OVER (PARTITION BY chrom, block ORDER BY bin)")).join(later, ["chrom", "block"])
+    all_cuts = ahead.select("chrom", "bin", F.expr("array_append(cuts, coalesce(next, later))").alias("cuts"), F.expr("cast(size(cuts) AS bigint)").alias("n"), F.explode("own").alias("x"))
+    span = all_cuts.select("chrom", "cuts", "x", F.expr(f"if(x.start div {width} = bin, array_position(cuts, x.start), 1L)").alias("i"), F.expr(f"if(x.end div {width} = bin, array_position(cuts, x.end) - 1, n)").alias("j"))
+    pieces = span.where("i <= j").select("chrom", "cuts", "x", F.explode(F.expr("sequence(cast(i AS int), cast(j AS int))")).alias("k"))
+    return pieces.select("chrom", F.expr("cuts[k - 1]").alias("start"), F.expr("cuts[k]").alias("end"), F.col("x.key").alias(key), F.col("x.depth").alias("depth"))
 
 
 def merged(intervals: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:

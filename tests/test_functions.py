@@ -83,3 +83,36 @@ def test_merged_and_first_class(spark):
     got = rows(first_class(df.withColumnRenamed("name", "class"), ["a", "b"]), "start", "end", "class")
     bases = {b: c for s, e, c in got for b in range(s, e)}
     assert bases == {b: ("a" if 5 <= b < 8 else "b") for b in range(12)}
+
+
+def test_short_cigars_as_walked(spark):
+    cigars = ["50M", "20M5D25M", "10S40M10N", "25M2I25M", "2=1X2=", "1X0M1=", "3H2S4M1P5M2H", "1M1I1M1I1M1I1M", "*", "", None, "5Q", "M5", "5M3", "5MM", "1M 2M"]
+    df = spark.createDataFrame([(i, 11, c) for i, c in enumerate(cigars)], "i int, pos int, cigar string")
+    got, want = A.with_operations(df).select("i", A.operations_end()), df.select("i", A.reference_end(F.col("pos"), F.col("cigar")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    walked = df.select("i", F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
+    assert sorted((r.i, *r.b) for r in A.each_block(df, "i").collect()) == sorted((r.i, *r.b) for r in walked.collect())
+
+
+def test_joint_coverage_of_many(spark):
+    """Random intervals against every base, over blocks and tiles; segments meet no other segments."""
+    rng = random.Random(5)
+    data = [("c", s := rng.randrange(400), s + rng.randrange(1, 90), rng.choice("xyz")) for _ in range(70)] + [("d", 4096, 8192, "x"), ("d", 8192, 9000, "x")]
+    depth = per_base(data)
+    turns = {(c, b) for c, k, b in depth if depth.get((c, k, b - 1), 0) != depth[c, k, b]} | {(c, b + 1) for c, k, b in depth if (c, k, b + 1) not in depth}
+    df = spark.createDataFrame(data, INTERVAL)
+    for tile in (16, 64, 1 << 14):
+        out = joint_coverage(df, "name", tile)
+        cut = [(r["chrom"], r["name"], r["start"], r["end"], r["depth"]) for r in out.collect()]
+        assert {(c, k, b): d for c, k, s, e, d in cut for b in range(s, e)} == depth and sum(e - s for _, _, s, e, _ in cut) == len(depth)
+        assert all((c, s) in turns and (c, e) in turns and not any((c, b) in turns for b in range(s + 1, e)) for c, _, s, e, _ in cut)
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert joins and not any(" < " in x for x in joins)
+
+
+def test_coverage_finds_edges_without_a_second_sweep(spark):
+    df = spark.createDataFrame([("c", 0, 40, "x"), ("c", 3, 9, "y"), ("c", 10, 20, "y")], INTERVAL)
+    out = coverage(df, ["name"], 16)
+    assert rows(out, "start", "end", "name", "depth") == [(0, 40, "x", 1), (3, 9, "y", 1), (10, 20, "y", 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS near") == 1 and plan.count("RepartitionByExpression") == 2
