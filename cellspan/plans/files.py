@@ -45,7 +45,7 @@ def _text(lines: DataFrame, path: str) -> str:
   pnext::INT AS pnext, tlen::INT AS tlen, 'CB:Z:' || barcode || ' UB:Z:' || (ok % 97) AS tags FROM al""")
 def sam_file(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark, "alignments.sam")
-    S.write_sam(X.alignments(spark, sf), None, path)
+    S.write_sam(X.alignments(spark, sf), None, path, "gzip")
     return S.read_sam(spark, path).select("qname", "flag", "rname", "pos", "mapq", "cigar", "pnext", "tlen", F.array_join("tags", " ").alias("tags"))
 
 
@@ -53,8 +53,8 @@ def sam_file(spark: SparkSession, sf: str) -> DataFrame:
 def sam_file_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """Alignments read from a file, and their fragments written and read once more."""
     sam, out = folder(spark, "alignments.sam"), folder(spark, "fragments.tsv")
-    S.write_sam(X.alignments(spark, sf), None, sam)
-    S.write_fragments(G.fragments_file(G.pairs(S.read_sam(spark, sam), min_mapq=30)), out)
+    S.write_sam(X.alignments(spark, sf), None, sam, "gzip")
+    S.write_fragments(G.fragments_file(G.pairs(S.read_sam(spark, sam), min_mapq=30)), out, "gzip")
     return S.read_fragments(spark, out)
 
 

@@ -44,12 +44,12 @@ def sam_lines(alignments: DataFrame) -> DataFrame:
     return alignments.select("rec_id", F.when(F.size("tags") > 0, F.concat_ws("\t", fixed, F.array_join("tags", "\t"))).otherwise(fixed).alias("line"))
 
 
-def write_sam(alignments: DataFrame, header: DataFrame | None, path: str) -> None:
-    """SAM text in record order, the header first (part files in order)."""
+def write_sam(alignments: DataFrame, header: DataFrame | None, path: str, compression: str = "none") -> None:
+    """SAM text in record order, the header first (part files in order); compression: none or gzip, say."""
     lines = sam_lines(alignments).select(F.lit(1).alias("k"), "rec_id", "line")
     if header is not None:
         lines = header.select(F.lit(0).alias("k"), "rec_id", "line").unionByName(lines)
-    lines.orderBy("k", "rec_id").select("line").write.mode("overwrite").text(path)
+    lines.orderBy("k", "rec_id").select("line").write.mode("overwrite").text(path, compression=compression)
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -93,8 +93,8 @@ def read_fragments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema="chrom string, start long, end long, barcode string, count long")
 
 
-def write_fragments(fragments: DataFrame, path: str) -> None:
-    fragments.select("chrom", "start", "end", "barcode", "count").write.mode("overwrite").csv(path, sep="\t")
+def write_fragments(fragments: DataFrame, path: str, compression: str = "none") -> None:
+    fragments.select("chrom", "start", "end", "barcode", "count").write.mode("overwrite").csv(path, sep="\t", compression=compression)
 
 
 def write_fragment_table(fragments: DataFrame, path: str) -> None:

@@ -106,3 +106,12 @@ def test_fragment_table_and_counts(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "t")).select("chrom", "start", "end", "barcode", "count")
     assert sorted(map(tuple, back.collect())) == sorted(rows)
     assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"chrom=c1", "chrom=c2"}
+
+
+def test_sam_compressed(spark, tmp_path):
+    (tmp_path / "a.sam").write_text(SAM)
+    reads, header = S.read_sam(spark, str(tmp_path / "a.sam")), S.read_sam_header(spark, str(tmp_path / "a.sam"))
+    S.write_sam(reads, header, str(tmp_path / "out"), "gzip")
+    parts = sorted((tmp_path / "out").glob("part-*.gz"))
+    assert "".join(gzip.decompress(p.read_bytes()).decode() for p in parts) == SAM
+    assert sorted(r.qname for r in S.read_sam(spark, str(tmp_path / "out")).collect()) == ["q1", "q2"]
