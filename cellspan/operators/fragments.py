@@ -14,9 +14,9 @@ def pairs(alignments: DataFrame, min_mapq: int = 0, require: int = A.ATAC_REQUIR
     Mates meet in one aggregation by name. Chromosome and tag barcode are those of read 1; a pair without a barcode
     has null.
     """
-    passed = alignments.where(A.passes_qc(min_mapq, require, exclude)).where(F.col("flag").bitwiseAND(F.lit(0x900)) == 0)
+    passed = A.with_operations(alignments.where(A.passes_qc(min_mapq, require, exclude)).where(F.col("flag").bitwiseAND(F.lit(0x900)) == 0))
     one = A.has_bits(0x40)
-    seen = passed.select("qname", (F.col("pos") - 1).cast("long").alias("s"), A.reference_end(F.col("pos"), F.col("cigar")).alias("e"), one.alias("one"), A.has_bits(0x80).alias("two"), F.when(one, F.col("rname")).alias("chrom"), *([F.when(one, A.tag_value(tag)).alias("b")] if tag else []))
+    seen = passed.select("qname", (F.col("pos") - 1).cast("long").alias("s"), A.operations_end().alias("e"), one.alias("one"), A.has_bits(0x80).alias("two"), F.when(one, F.col("rname")).alias("chrom"), *([F.when(one, A.tag_value(tag)).alias("b")] if tag else []))
     mates = seen.groupBy("qname").agg(
         F.max("chrom").alias("chrom"), F.min("s").alias("start"), F.max("e").alias("end"), F.bool_or("one").alias("one"), F.bool_or("two").alias("two"),
         *([F.max("b").alias("barcode")] if tag else []),

@@ -54,7 +54,7 @@ def in_region(pairs: DataFrame, regions: DataFrame, barcodes: DataFrame, flank:
 def aligned(alignments: DataFrame, barcodes: DataFrame | None, min_mapq: int = 0, require: int = A.ATAC_REQUIRE, exclude: int = A.ATAC_EXCLUDE, tag: str | None = None) -> DataFrame:
     """chrom, barcode, start, end of the aligned blocks of records that pass."""
     used = only_listed(alignments.where(A.passes_qc(min_mapq, require, exclude)).withColumn("barcode", A.barcode(tag)), barcodes)
-    blocks = used.select("barcode", F.col("rname").alias("chrom"), F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
+    blocks = A.each_block(used, "barcode", F.col("rname").alias("chrom"))
     return blocks.select("chrom", "barcode", "b.start", "b.end")
 
 
