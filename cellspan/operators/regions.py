@@ -33,10 +33,13 @@ def region_counts(pairs: DataFrame, regions: DataFrame, barcodes: DataFrame | No
 
 def any_overlap_counts(fragments: DataFrame, peaks: DataFrame, least_cells: int = 0, least_peaks: int = 0, least_fragments: int = 0) -> DataFrame:
     """name, barcode, n: fragments that overlap a peak, for cells and peaks that reach the minima."""
-    cells = fragments.groupBy("barcode").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_fragments).select("barcode")
-    counts = overlap_join(fragments.join(cells, "barcode", "left_semi"), peaks.select("chrom", "start", "end", "name")).groupBy(F.col("r_name").alias("name"), "barcode").agg(F.count(F.lit(1)).alias("n"))
-    names = counts.groupBy("name").agg(F.count_distinct("barcode").alias("c")).where(F.col("c") >= least_cells).select("name")
-    full = counts.groupBy("barcode").agg(F.count_distinct("name").alias("c")).where(F.col("c") >= least_peaks).select("barcode")
+    used = fragments.where("barcode IS NOT NULL")
+    if least_fragments > 1:  # a cell that is there has one fragment at least, and needs no count
+        used = used.join(used.groupBy("barcode").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_fragments).select("barcode"), "barcode", "left_semi")
+    counts = overlap_join(used.select("barcode", "chrom", "start", "end"), peaks.select("chrom", "start", "end", "name").where("name IS NOT NULL")).groupBy(F.col("r_name").alias("name"), "barcode").agg(F.count(F.lit(1)).alias("n"))
+    # n is above 0; reading it in all three places keeps the counts one plan, whose exchange is reused
+    own = lambda key, other, at_least: counts.groupBy(key).agg(F.count(other).alias("c"), F.sum("n").alias("s")).where((F.col("c") >= at_least) & (F.col("s") > 0)).select(key)
+    names, full = own("name", "barcode", least_cells), own("barcode", "name", least_peaks)
     return counts.join(names, "name", "left_semi").join(full, "barcode", "left_semi")
 
 
