@@ -70,13 +70,30 @@ def atac_features(pairs: DataFrame, classes: DataFrame, barcodes: DataFrame, lea
 
     bases: fragment bases under the class; of intergenic fragments, all.
     """
+    return atac_composition(pairs, classes, barcodes, least, most).drop("total")
+
+
+def atac_composition(pairs: DataFrame, classes: DataFrame, barcodes: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """atac_features with total, the barcode's fragments. The pairs are read once: all of them pass through one outer join."""
     used = only_listed(pairs, barcodes).where(F.col("length") >= least)
     used = used if most is None else used.where(F.col("length") <= most)
-    flat = class_unions(classes)
-    hits = overlap_join(used.select("qname", "barcode", "chrom", "start", "end", "length"), flat, levels=(1,))  # unions of a class don't overlap: bins are bounded by the genome
-    each = hits.groupBy("qname", "barcode", "length", F.col("r_class").alias("class")).agg(F.sum(overlap_length()).alias("b"))
-    none = used.join(each.select("qname").distinct(), "qname", "left_anti").select("qname", "barcode", "length", F.lit("intergenic").alias("class"), F.col("length").alias("b"))
-    return each.unionByName(none).groupBy("barcode", "class").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"), F.sum("b").alias("bases"))
+    # unions of a class don't overlap: bins are bounded by the genome
+    flat = class_unions(classes).withColumn("r_bin", F.explode(F.expr(f"sequence(start div {BIN}, (end - 1) div {BIN})"))).withColumnsRenamed({c: f"r_{c}" for c in ("chrom", "class", "start", "end")})
+    spots = F.expr(f"if(start >= 0 AND start < end, sequence(start div {BIN}, (end - 1) div {BIN}), array(-1L))")
+    laid = used.select("qname", "barcode", "chrom", "start", "end", "length", F.explode_outer(spots).alias("bin"))
+    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    own = F.col("bin") == F.expr(f"greatest(start, r_start) div {BIN}")
+    piece = F.when(F.col("r_class").isNotNull(), F.struct(F.col("r_class").alias("class"), overlap_length().alias("b")))
+    met = laid.join(flat, on & own, "left").groupBy("qname", "barcode", "length").agg(F.collect_list(piece).alias("known"))
+    # a row for each piece, the first of its class counting the fragment, and one without a class for the fragment itself
+    whole = lambda name: f"struct(cast({name} AS string) AS class, length AS b)"
+    rows = F.expr(f"if(size(known) = 0, array({whole(chr(39) + 'intergenic' + chr(39))}, {whole('NULL')}), array_append(known, {whole('NULL')}))")
+    each = met.select("barcode", "length", F.col("known.class").alias("names"), F.posexplode(rows).alias("at", "x"))
+    first = F.expr("x.class IS NULL OR size(names) = 0 OR array_position(names, x.class) = at + 1")
+    one = each.select("barcode", "x.class", "x.b", first.alias("first"), "length")
+    sums = one.groupBy("barcode", "class").agg(F.count_if("first").alias("n"), F.sum(F.when(F.col("first"), F.col("length"))).alias("l"), F.sum("b").alias("bases"))
+    total = F.expr("max(if(class IS NULL, n, NULL)) OVER (PARTITION BY barcode)")
+    return sums.withColumn("total", total).where("class IS NOT NULL").select("barcode", "class", "n", A.ratio(F.col("l"), F.col("n")).alias("mean_length"), "bases", "total")
 
 
 def class_unions(classes: DataFrame) -> DataFrame:
@@ -89,7 +106,7 @@ def gex_features(reads: DataFrame, classes: DataFrame, barcodes: DataFrame, prec
 
     reads: barcode, rname, pos, cigar, after QC and first_seen().
     """
-    used = only_listed(reads, barcodes).select("barcode", F.col("rname").alias("chrom"), F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b"))
+    used = A.each_block(only_listed(reads, barcodes), "barcode", F.col("rname").alias("chrom"))
     blocks = used.select("barcode", "chrom", "b.start", "b.end")
     # classes don't overlap, so a bin of them is one row of BIN segments at most, and each piece of a read meets one row
     cut = lambda df: df.withColumn("bin", F.explode(F.expr(f"sequence(start div {BIN}, (end - 1) div {BIN})"))).withColumns(
@@ -110,14 +127,14 @@ def mismatches(alignments: DataFrame, min_mapq: int = 0, tag: str = A.BARCODE_TA
     Positions of X operations are mismatches; where MD is given, so are the positions it names.
     """
     used = alignments.where(A.passes_qc(min_mapq, A.MISMATCH_REQUIRE, A.MISMATCH_EXCLUDE)).withColumn("barcode", A.tag_value(tag)).where("barcode IS NOT NULL")
-    named = used.select("barcode", F.col("rname").alias("chrom"), "seq", F.array_distinct(_md_sites()).alias("md"), A.aligned_blocks(F.col("pos"), F.col("cigar")).alias("bs"))
+    chrom = F.col("rname").alias("chrom")
     # only mismatches are laid out, from the read itself; an MD site outside the aligned blocks is none
-    blocks = named.select("barcode", "chrom", "seq", "md", F.explode("bs").alias("b"))
+    blocks = A.each_block(used.withColumn("md", F.array_distinct(_md_sites())), "barcode", chrom, "seq", "md")
     found = F.expr("if(b.op = 'X', sequence(b.start, b.end - 1), filter(md, p -> p >= b.start AND p < b.end))")
-    hits = blocks.where("b.start < b.end").select("barcode", "chrom", "seq", "b", F.explode(found).alias("site"))
+    hits = blocks.where("b.start < b.end").select("barcode", "chrom", "seq", "b", F.explode_outer(found).alias("site")).where("site IS NOT NULL")
     base = F.expr("substring(seq, cast(b.at + site - b.start + 1 AS int), 1)")
     hit = hits.select("barcode", "chrom", "site", base.alias("base")).where("base IN ('A', 'C', 'G', 'T')")
-    every = used.select("barcode", F.col("rname").alias("chrom"), F.explode(A.aligned_blocks(F.col("pos"), F.col("cigar"))).alias("b")).where("b.start < b.end")
+    every = A.each_block(used, "barcode", chrom).where("b.start < b.end")
     return hit, every.select("barcode", "chrom", F.explode(F.expr("sequence(b.start, b.end - 1)")).alias("site"))
 
 
@@ -130,7 +147,8 @@ def _md_sites() -> Column:
         gone = F.when(x.rlike(r"^\d"), F.try_to_number(x, F.lit("999999999")).cast("long")).when(x.startswith("^"), F.length(x) - 1).otherwise(F.lit(1)).cast("long")
         return F.struct((acc["p"] + gone).alias("p"), F.when(x.rlike("^[A-Z]"), F.array_append(acc["s"], acc["p"])).otherwise(acc["s"]).alias("s"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["s"])
+    none = F.expr("cast(array() AS array<bigint>)")
+    return F.when(A.tag_value("MD").isNull(), none).otherwise(F.aggregate(parts, start, step, lambda acc: acc["s"]))
 
 
 def mismatch_sites(counts: DataFrame, depth: DataFrame, least_depth: int = 1, least_share: float = 0.0) -> DataFrame:

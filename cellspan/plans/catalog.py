@@ -366,8 +366,8 @@ def atac_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("atac_percent", _ATAC + ", ac AS (SELECT barcode, class, count(*) AS n FROM every GROUP BY ALL) SELECT barcode, class, n, 100 * n::DOUBLE / nullif(total, 0)::DOUBLE AS percent FROM ac JOIN (SELECT barcode, count(*) AS total FROM f GROUP BY barcode) USING (barcode)")
 def atac_percent(spark: SparkSession, sf: str) -> DataFrame:
-    total = G.only_listed(X.pairs(spark, sf), X.barcodes(spark, sf)).groupBy("barcode").agg(F.count(F.lit(1)).alias("total"))
-    return P.row_percent(atac_features(spark, sf).join(total, "barcode"), "n", "total").select("barcode", "class", "n", "percent")
+    found = C.atac_composition(X.pairs(spark, sf), X.regions(spark, sf), X.barcodes(spark, sf))
+    return P.row_percent(found, "n", "total").select("barcode", "class", "n", "percent")
 
 
 @query("atac_length_by_cluster", _ATAC + """, ml AS (SELECT barcode, class AS name, avg(len) AS value FROM every GROUP BY ALL)

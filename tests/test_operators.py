@@ -164,3 +164,31 @@ def test_mismatches_stay_with_their_read(spark):
     assert sorted((r.barcode, r.site, r.base) for r in hit.collect()) == [("K", 1, "C"), ("K", 4, "T"), ("L", 0, "T"), ("L", 2, "C")]
     assert sites.count() == 12
     assert "Join" not in hit._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_atac_composition_in_one_pass(spark):
+    """Pieces of one class count a fragment once, over bins too; fragments outside are intergenic; the pairs are read once."""
+    pairs = pairs_of(spark, (0, 100, "A"), (4000, 4200, "A"), (500, 600, "A"), (-1, 9, "B"), (0, 10, "N"))
+    classes = frame(spark, [("c", 10, 20, "x"), ("c", 30, 35, "x"), ("c", 15, 40, "y"), ("c", 4090, 4100, "x")], "chrom string, start long, end long, class string")
+    out = C.atac_composition(pairs, classes, listed(spark, "A", "B", "C"))
+    got = sorted(map(tuple, out.collect()))
+    assert got == [("A", "intergenic", 1, 100.0, 100, 3), ("A", "x", 2, 150.0, 25, 3), ("A", "y", 1, 100.0, 25, 3), ("B", "intergenic", 1, 10.0, 10, 1)]
+    assert sorted(map(tuple, C.atac_features(pairs, classes, listed(spark, "A", "B", "C")).collect())) == [r[:5] for r in got]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [qname") == 1
+
+
+def test_peaks_read_pairs_by_one_plan(spark):
+    pairs = pairs_of(spark, (0, 10, "A"), (5, 25, "A"), (5, 25, "B"), (50, 60, "B"))
+    peaks = frame(spark, [("c", 0, 8, "p"), ("c", 20, 30, "q")], "chrom string, start long, end long, name string")
+    out = R.any_overlap_counts(pairs, peaks, least_cells=2, least_peaks=2)
+    assert sorted(map(tuple, out.select("name", "barcode", "n").collect())) == [("p", "A", 2), ("p", "B", 1), ("q", "A", 1), ("q", "B", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [qname") == 3
+    assert R.any_overlap_counts(pairs, peaks, least_fragments=3).count() == 0
+
+
+def test_tss_grid_is_laid_after_the_join(spark):
+    tss = frame(spark, [("c", 102, 103, "t", "+")], "chrom string, start long, end long, name string, strand string")
+    out = R.tss_enrichment(R.tss_counts(pairs_of(spark, (100, 103, "A")), tss, listed(spark, "A", "B"), flank=50), 50, 10)
+    assert out.count() == 2 * 101 and out.where("enrichment <> 0").count() == 0
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert not any("offset" in x for x in joins) and sum("Inner" in x for x in joins) == 1
