@@ -59,6 +59,7 @@ def metagene_profile(counts: DataFrame, groups: DataFrame | None = None, feature
 
 def tss_by_cluster(scores: DataFrame, clusters: DataFrame) -> DataFrame:
     """Scores with clusters, best first, limited to the 1 % and 99 % quantiles."""
+    scores = scores.repartition("barcode", "score")  # an exchange that both uses of the scores read; by the barcode alone it'd be left out
     ends = scores.agg(F.percentile("score", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
     both = scores.join(clusters, "barcode", "left").crossJoin(F.broadcast(ends))
     return both.select("barcode", "cluster", "score", F.least(F.greatest("score", F.col("q")[0]), F.col("q")[1]).alias("limited")).orderBy(F.desc("score"), "barcode")

@@ -99,10 +99,13 @@ def tss_counts(pairs: DataFrame, tss: DataFrame, samples: DataFrame, flank: int
     hi = F.expr(f"CASE WHEN r_strand = '-' THEN least({2 * s}, {s} - start + r_tss) ELSE least({2 * s}, end - 1 - r_tss + {s}) END")
     ranges = hits.select("barcode", lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where("lo <= hi")
     events = ranges.select("barcode", F.explode(F.expr("array(struct(lo AS offset, 1 AS d), struct(hi + 1 AS offset, -1 AS d))")).alias("x"))
-    steps = events.groupBy("barcode", "x.offset").agg(F.sum("x.d").alias("d"))
-    grid = samples.select("barcode").distinct().select("barcode", F.explode(F.expr(f"sequence(0L, {2 * s}L)")).alias("offset"))
-    run = grid.join(steps, ["barcode", "offset"], "left").withColumn("n", F.expr("sum(coalesce(d, 0)) OVER (PARTITION BY barcode ORDER BY offset)"))
-    return run.select("barcode", "offset", "n")
+    steps = events.where(f"x.offset <= {2 * s}").groupBy("barcode", "x.offset").agg(F.sum("x.d").alias("d"))
+    known = steps.groupBy("barcode").agg(F.collect_list(F.struct("offset", "d")).alias("known"))
+    # offsets without steps are laid after the join, so that they are not shuffled
+    grid = f"transform(sequence(0L, {2 * s}L), o -> struct(o AS offset, 0L AS d))"
+    each = samples.select("barcode").distinct().join(known, "barcode", "left").select("barcode", F.explode(F.expr(f"if(known IS NULL, {grid}, concat(known, {grid}))")).alias("x"))
+    filled = each.groupBy("barcode", "x.offset").agg(F.sum("x.d").alias("d"))
+    return filled.select("barcode", "offset", F.expr("sum(d) OVER (PARTITION BY barcode ORDER BY offset)").alias("n"))
 
 
 def bulk(pairs: DataFrame, name: str) -> DataFrame:
@@ -118,7 +121,8 @@ def tss_norm_factor(counts: DataFrame, flank: int = 1000, edge: int = 100) -> Da
 
 def tss_enrichment(counts: DataFrame, flank: int = 1000, edge: int = 100) -> DataFrame:
     """barcode, offset, enrichment: bases over the norm factor, 0 where that is 0."""
-    both = counts.join(tss_norm_factor(counts, flank, edge), "barcode")
+    far = f"offset < {edge} OR offset > {2 * flank - edge}"
+    both = counts.where("barcode IS NOT NULL").withColumn("norm_factor", F.expr(f"sum(if({far}, n, 0)) OVER (PARTITION BY barcode)"))
     return both.select("barcode", "offset", F.coalesce(A.ratio(F.col("n"), F.col("norm_factor")), F.lit(0.0)).alias("enrichment"))
 
 
